@@ -12,9 +12,9 @@ are cut so that all windows but one are full, and the last is cut into powers of
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,29 +22,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OPEN, CACHE = 4096, 400_000
+OPEN, CACHE = 4096, 500_000
+_BLANKS = "\t\n\r\x0b\x0c"
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
-    """Token ids of whole texts. The tokenizer never joins characters across ASCII white space, so ids are kept by word."""
+    """Token ids of whole texts. The tokenizer never joins characters across ASCII white space, so ids are kept by word.
+
+    Words are kept in two generations of CACHE words at most; a word of the older one that is met again moves up.
+    """
 
     def __init__(self, path: str, end: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.model, self.end, self.known = Tokenizer.from_file(path), end, {}
+        self.model, self.end, self.known, self.older = Tokenizer.from_file(path), np.uint32(end).tobytes(), {}, {}
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [(t or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") for t in texts]
+        words = []
+        for t in texts:
+            t = t or ""
+            for blank in _BLANKS:
+                t = t.replace(blank, " ")
+            words.append(t.split(" "))
         if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = {w for ws in words for w in ws if w not in known}
+        again = new & older.keys()
+        known.update((w, older[w]) for w in again)
+        new = list(new - again)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            known.update((w, e.ids) for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)))
-        get, last = known.__getitem__, (self.end,)
-        return [np.fromiter(chain(chain.from_iterable(map(get, ws)), last), np.uint32) for ws in words]
+            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)))
+        get = known.__getitem__
+        return [np.frombuffer(b"".join(map(get, ws)) + self.end, "<u4") for ws in words]
 
 
 class Packer:
@@ -127,7 +140,7 @@ def _packed(path: str | None, end: int, size: int):
                 at = 0
                 for doc, start, n in w:
                     ids = held[doc]
-                    for c, x in zip(cols, (names[doc], start, n, zlib.crc32(ids[start : start + n].astype("<u4").tobytes()), len(ids), base + made, at)):
+                    for c, x in zip(cols, (names[doc], start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), base + made, at)):
                         c.append(x)
                     at += n
                     waits[doc] -= n

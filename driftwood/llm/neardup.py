@@ -8,9 +8,10 @@ With 40 bands of 5 coordinates a pair at 0.85 shares no band with a probability
 
 Candidates never leave a bucket as all pairs. First each member meets its bucket's leader, the member that shares
 the most buckets overall (the middle of a star of copies). Links are verified on full sets and joined into
-components. Only buckets that still hold several components are looked at again: they are cut into blocks of
-BLOCK rows, pairs of blocks are compared inside tasks on the sketches, and what the concentration bound cannot rule
-out is verified on full sets. So no pair of a bucket is left out, and what is emitted are near pairs only.
+components. Buckets that still hold several components choose another leader, by a hash of the round, for ROUNDS
+rounds. What is mixed even then is cut into blocks of BLOCK rows; pairs of blocks are compared inside tasks on the
+sketches, each pair of members in the first bucket that they share, and what the concentration bound cannot rule out
+is verified on full sets. So no pair of a bucket is left out, and what is emitted are near pairs of components only.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import U64, Workspace, chunks, mix, random64, same, shingle_sets, utf8
 from .components import connected_components
 
-BANDS, ROWS, BLOCK = 40, 5, 64
-#: A pair at 0.85 agrees on fewer than 0.6 of 200 coordinates with a probability under 2e-11 (Hoeffding).
-SKETCH_SLACK = 0.25
+BANDS, ROWS, BLOCK, ROUNDS = 40, 5, 256, 3
+#: A pair at 0.85 agrees on fewer than 0.65 of 200 coordinates with a probability under 3e-11 (Chernoff).
+SKETCH_SLACK = 0.2
 _BAND = random64(21, ROWS) | U64(1)
 
 
@@ -75,14 +76,17 @@ def _near_blocks(share: float, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for row in batch["members"]:
+            for bucket, row in zip(batch["bucket"].to_pylist(), batch["members"]):
                 m = row.values
+                bands = m.field("bands").flatten().to_numpy().reshape(len(m), -1)
                 side, doc, label, n = (m.field(k).to_numpy() for k in ("side", "doc", "label", "n_shingles"))
                 low = np.stack([np.frombuffer(x, np.uint8) for x in m.field("low").to_pylist()])
                 one, two = (side == side.min()), (side == side.max())
                 for i in np.flatnonzero(one):
                     js = np.flatnonzero(two & (label != label[i]) & ((side != side[i]) | (doc > doc[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-                    js = js[(low[js] == low[i]).mean(1) >= share] if len(js) else js
+                    if len(js):
+                        js = js[bands[i][(bands[js] == bands[i]).argmax(1)] == bucket]  # else they meet in another bucket
+                        js = js[(low[js] == low[i]).mean(1) >= share]
                     left.append(np.minimum(doc[i], doc[js]))
                     right.append(np.maximum(doc[i], doc[js]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
@@ -161,24 +165,30 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     full = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     shared = work.save(members.join(full, "bucket"), "shared")
     weight = shared.groupBy("doc").agg(F.sum("m").alias("weight"))
+    found = work.save(_keyed(texts, reps.join(weight, "doc", "left_semi").select("doc", "doc_id", *sets), shingle), "texts")
     leaders = shared.join(weight, "doc").groupBy("bucket").agg(F.max(F.struct("weight", F.col("doc").alias("a"))).alias("x")).select("bucket", "x.a")
-    pairs = shared.join(leaders, "bucket").where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
-    # the texts of candidates, under the key of their set
-    near = shared.select("doc").distinct()
-    cand = reps.join(near, "doc", "left_semi").select("doc", "doc_id", *sets)
-    found = work.save(_keyed(texts, cand, shingle), "texts")
-    links = _verify(pairs, reps, found, work, "first", shingle, percent)
-    labels = connected_components(links, work, "first")
-    tagged = shared.join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    mixed = tagged.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", "size")
-    left = tagged.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks"))
+    pairs = shared.join(leaders, "bucket").where("a <> doc").select("a", F.col("doc").alias("b"))
+    links = None
+    for k in range(ROUNDS + 1):
+        new = _verify(work.save(pairs.distinct(), f"pairs-{k}"), reps, found, work, f"round-{k}", shingle, percent)
+        links = new if links is None else links.unionByName(new)
+        labels = connected_components(links, work, f"round-{k}")
+        tagged = shared.select("bucket", "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+        mixed = tagged.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", "size")
+        shared = work.save(tagged.join(mixed, "bucket"), f"mixed-{k}")
+        work.drop("shared" if not k else f"mixed-{k - 1}", f"pairs-{k}", f"round-{k}-likely", f"round-{k}-edges")
+        if shared.isEmpty():
+            break  # every bucket is of one component: nothing is left to compare
+        leaders = shared.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("doc", "bucket", F.lit(k)), F.col("doc").alias("a"), F.col("label").alias("own"))).alias("x")).select("bucket", "x.a", "x.own")
+        pairs = shared.join(leaders, "bucket").where("own <> label").select("a", F.col("doc").alias("b"))
+    left = shared.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks"))
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "doc", "label")
-    lists = dealt.join(reps.select("doc", "n_shingles", "low"), "doc").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("side", "doc", "label", "n_shingles", "low")).alias("members"))
-    rest = lists.where("size(members) > 1").select("members").mapInArrow(_near_blocks(percent / 100 - SKETCH_SLACK, percent), "a long, b long").distinct()
+    lists = dealt.join(reps.select("doc", "n_shingles", "low", "bands"), "doc").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("side", "doc", "label", "n_shingles", "low", "bands")).alias("members"))
+    rest = lists.where("size(members) > 1").select("bucket", "members").mapInArrow(_near_blocks(percent / 100 - SKETCH_SLACK, percent), "a long, b long").distinct()
     more = _verify(work.save(rest, "rest"), reps, found, work, "rest", shingle, percent)
     labels = connected_components(links.unionByName(more), work, "all")
-    work.drop("shared", "texts", "first-likely", "rest-likely", "rest", "first-edges")
+    work.drop(f"mixed-{ROUNDS}", "texts", "rest-likely", "rest")
     named = classes.withColumn("rep", F.xxhash64("doc", *sets)).join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
     named = work.save(named.join(least, "label").select(*sets, "component_id"), "named")

@@ -8,12 +8,17 @@ from .common import table
 from .neardup import near_duplicates
 from .packing import pack
 from .repeats import removal_digest
+from .toxicity import toxicity
 
 
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -22,5 +27,5 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sum_of_squares_packing, op5_minhash_neardup, op8_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sum_of_squares_packing, op5_minhash_neardup, op8_suffix_array_dedup)}
 ORACLES: dict[str, str] = {}

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OPEN, CACHE = 4096, 500_000
+OPEN, CACHE = 4096, 800_000
 _BLANKS = "\t\n\r\x0b\x0c"
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -60,6 +60,16 @@ class Encoder:
         return [np.frombuffer(b"".join(map(get, ws)) + self.end, "<u4") for ws in words]
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, end: int) -> Encoder:
+    """The worker process's own encoder, which keeps what it has learned from one task to the next."""
+    if (path, end) not in _encoders:
+        _encoders[path, end] = Encoder(path, end)
+    return _encoders[path, end]
+
+
 class Packer:
     """The sum-of-squares rule over one stream of pieces (document, start, length)."""
 
@@ -126,7 +136,7 @@ def _packed(path: str | None, end: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encode, pack = Encoder(path or public_tokenizers.path("word_bpe_49k.json"), end), Packer(size)
+        encode, pack = encoder(path or public_tokenizers.path("word_bpe_49k.json"), end), Packer(size)
         base, made = TaskContext.get().partitionId() << 40, 0
         held: dict[int, np.ndarray] = {}  # the ids of documents with a piece in an open window
         waits: dict[int, int] = {}

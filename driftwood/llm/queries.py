@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .neardup import near_duplicates
 from .packing import pack
+from .quality import quality
 from .repeats import removal_digest
 from .toxicity import toxicity
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -27,5 +32,5 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sum_of_squares_packing, op5_minhash_neardup, op8_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sum_of_squares_packing, op4_quality_classifier, op5_minhash_neardup, op8_suffix_array_dedup)}
 ORACLES: dict[str, str] = {}

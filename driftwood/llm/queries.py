@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .html_text import extract_text
 from .neardup import near_duplicates
 from .packing import pack
 from .quality import quality
@@ -15,6 +16,10 @@ from .topk import top_k
 from .toxicity import toxicity
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +48,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sum_of_squares_packing, op4_quality_classifier, op5_minhash_neardup, op7_benchmark_decontamination, op8_suffix_array_dedup, op9_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sum_of_squares_packing, op3_html_extraction, op4_quality_classifier, op5_minhash_neardup, op7_benchmark_decontamination, op8_suffix_array_dedup, op9_exact_topk)}
 ORACLES: dict[str, str] = {}
 
 _WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"

@@ -8,8 +8,8 @@ With 40 bands of 5 coordinates a pair at 0.85 shares no band with a probability
 
 Candidates never leave a bucket as all pairs. First each member meets its bucket's leader, the member that shares
 the most buckets overall (the middle of a star of copies). Links are verified on full sets and joined into
-components. Buckets that still hold several components choose another leader, by a hash of the round, for ROUNDS
-rounds. What is mixed even then is cut into blocks of BLOCK rows; pairs of blocks are compared inside tasks on the
+components. Buckets that still hold several components choose another leader, the member that comes first by a hash
+of the round, for ROUNDS rounds; buckets of like members share it, so a member meets few of them. What is mixed even then is cut into blocks of BLOCK rows; pairs of blocks are compared inside tasks on the
 sketches, each pair of members in the first bucket that they share, and what the concentration bound cannot rule out
 is verified on full sets. So no pair of a bucket is left out, and what is emitted are near pairs of components only.
 """
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
         work.drop("shared" if not k else f"mixed-{k - 1}", f"pairs-{k}", f"round-{k}-likely", f"round-{k}-edges")
         if shared.isEmpty():
             break  # every bucket is of one component: nothing is left to compare
-        leaders = shared.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("doc", "bucket", F.lit(k)), F.col("doc").alias("a"), F.col("label").alias("own"))).alias("x")).select("bucket", "x.a", "x.own")
+        leaders = shared.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("doc", F.lit(k)), F.col("doc").alias("a"), F.col("label").alias("own"))).alias("x")).select("bucket", "x.a", "x.own")
         pairs = shared.join(leaders, "bucket").where("own <> label").select("a", F.col("doc").alias("b"))
     left = shared.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks"))
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

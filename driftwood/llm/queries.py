@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination
 from .html_text import extract_text
+from . import licences
 from .neardup import near_duplicates
 from .packing import pack
 from .quality import quality
 from .repeats import removal_digest
 from .topk import top_k
 from .toxicity import toxicity
+from .urls import judge
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +38,10 @@ def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +54,11 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sum_of_squares_packing, op3_html_extraction, op4_quality_classifier, op5_minhash_neardup, op7_benchmark_decontamination, op8_suffix_array_dedup, op9_exact_topk)}
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sum_of_squares_packing, op3_html_extraction, op4_quality_classifier, op5_minhash_neardup, op6_url_filters, op7_benchmark_decontamination, op8_suffix_array_dedup, op9_exact_topk, op10_licence_scan)}
 ORACLES: dict[str, str] = {}
 
 _WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
@@ -87,3 +97,4 @@ pairs AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs) x WHERE r <= 10
 """
+ORACLES["op10_licence_scan"] = licences.oracle()

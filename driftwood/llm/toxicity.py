@@ -21,7 +21,7 @@ from .labelled import sample
 
 BUCKETS, DIM, WINDOW, SIZES = 1 << 17, 16, 24, (3, 4, 5)
 #: The bound on the labelled rows of either class that are learned from.
-PER_CLASS = 1500
+PER_CLASS = 700
 _PLAIN = LOWER.copy()
 _PLAIN[:48] = _PLAIN[58:65] = _PLAIN[91:97] = _PLAIN[123:128] = 32
 
@@ -29,22 +29,22 @@ _PLAIN[:48] = _PLAIN[58:65] = _PLAIN[91:97] = _PLAIN[123:128] = 32
 def subwords(raw: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each size: the starts of the subwords in raw, in order, and their buckets."""
     low = _PLAIN[raw]
-    blank = np.cumsum(np.r_[0, low == 32])
+    blank = np.cumsum(np.r_[0, low == 32], dtype=np.int32)
     code = low.astype(np.uint32)
     ends = np.zeros(len(raw) + 1, np.int32)
     ends[off[1:]] = 1
-    seam = np.cumsum(ends)  # a subword lies in one document
+    seam = np.cumsum(ends, dtype=np.int32)  # a subword lies in one document
     out = []
     for n in SIZES:
         m = len(raw) - n + 1
         if m <= 0:
-            out.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            out.append((np.zeros(0, np.int32), np.zeros(0, np.uint32)))
             continue
         h = np.full(m, n, np.uint32)
         for j in range(n):
             h = (h ^ code[j : m + j]) * np.uint32(16777619)
             h ^= h >> np.uint32(15)
-        at = np.flatnonzero((blank[n - 1 : m + n - 1] == blank[1 : m + 1]) & (seam[:m] == seam[n - 1 : m + n - 1]))
+        at = np.flatnonzero((blank[n - 1 : m + n - 1] == blank[1 : m + 1]) & (seam[:m] == seam[n - 1 : m + n - 1])).astype(np.int32)
         out.append((at, h[at] % np.uint32(BUCKETS)))
     return out
 

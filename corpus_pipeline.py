@@ -1,11 +1,23 @@
-"""Cleaning and packing of a text corpus in stages; each is written as Parquet and reread as the next one's docs."""
+"""Cleaning and packing of a text corpus in stages; each is written as Parquet and reread as the next one's docs.
+
+Every stage works on all that its predecessor kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from driftwood.llm.common import Workspace, table
+from driftwood.llm.decontaminate import keep_clean
 from driftwood.llm.neardup import keep_one_of_each
+from driftwood.llm.packing import pack
+from driftwood.llm.quality import keep_good
+from driftwood.llm.repeats import remove_repeats
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores under its threshold go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +25,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one_of_each(docs)
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
-#: Sketches, trained models and a tokenizer are beyond SQL; tests hold every stage against a brute-force version.
+def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes that repeat across or within documents are cut out of the texts."""
+    return remove_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of ten words of a benchmark item go."""
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document in a token sequence."""
+    return pack(docs)
+
+
+STAGES = [("quality_classifier", quality_filter), ("minhash_near_dedup", near_dedup), ("suffix_array_dedup", repeat_dedup), ("benchmark_decontamination", decontamination), ("sum_of_squares_packing", packing)]
+#: A trained model, sketches and a tokenizer are beyond SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 

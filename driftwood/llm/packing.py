@@ -40,24 +40,22 @@ class Encoder:
         self.model, self.end, self.known, self.older = Tokenizer.from_file(path), np.uint32(end).tobytes(), {}, {}
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = []
-        for t in texts:
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        known, older, out = self.known, self.older, []
+        for t in texts:  # text by text: what the first look-up of a word brings near is there for the second
             t = t or ""
             for blank in _BLANKS:
                 t = t.replace(blank, " ")
-            words.append(t.split(" "))
-        if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = {w for ws in words for w in ws if w not in known}
-        again = new & older.keys()
-        known.update((w, older[w]) for w in again)
-        new = list(new - again)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)))
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)) + self.end, "<u4") for ws in words]
+            words = t.split(" ")
+            if new := {w for w in words if w not in known}:
+                if again := new & older.keys():
+                    known.update((w, older[w]) for w in again)
+                    new -= again
+                part = list(new)
+                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)))
+            out.append(np.frombuffer(b"".join(map(known.__getitem__, words)) + self.end, "<u4"))
+        return out
 
 
 _encoders: dict[tuple, Encoder] = {}

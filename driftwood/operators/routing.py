@@ -11,23 +11,10 @@ from .ordered import numbered
 
 
 def topic_regex(pattern: str) -> str:
-    """A topic pattern as a regular expression: * is one word, # any number of words."""
-    words = pattern.split(".") if pattern else [""]
-    if words == ["#"]:
-        return "^.*$"
-    out, glued = "", True  # glued: no dot is due before the next word
-    for k, w in enumerate(words):
-        if w == "#":
-            if k == 0:
-                out += r"([^.]+\.)*"
-                glued = True
-            else:
-                out += r"(\.[^.]+)*"
-                glued = glued and out == r"([^.]+\.)*"
-            continue
-        out += ("" if glued else r"\.") + ("[^.]+" if w == "*" else re.escape(w))
-        glued = False
-    return f"^{out}$"
+    """A topic pattern as a regular expression for a dot and the key: * is one word, # any number of words."""
+    words = {"*": r"\.[^.]+", "#": r"(\.[^.]+)*"}
+    dotted = "".join(words.get(w, r"\." + re.escape(w)) for w in pattern.split("."))
+    return rf"^({dotted}|\.)$" if set(pattern.split(".")) == {"#"} else f"^{dotted}$"  # # alone takes the empty key too
 
 
 def regex_column(pattern: str, df: DataFrame) -> DataFrame:
@@ -50,7 +37,7 @@ def route(messages: DataFrame, exchanges: DataFrame, bindings: DataFrame) -> Dat
     direct = messages.join(kinds.where("type = 'direct'").select("exchange", F.col("binding_key").alias("routing_key"), "queue"), ["exchange", "routing_key"])
     fanout = messages.join(kinds.where("type = 'fanout'").select("exchange", "queue"), "exchange")
     topics = regex_column("binding_key", kinds.where("type = 'topic'")).select("exchange", "queue", "pattern_regex")
-    topic = messages.join(topics, "exchange").where("routing_key RLIKE pattern_regex").drop("pattern_regex")
+    topic = messages.join(topics, "exchange").where("concat('.', routing_key) RLIKE pattern_regex").drop("pattern_regex")
     columns = [*messages.columns, "queue"]
     parts = [x.select(columns).dropDuplicates(["message_id", "queue"]) for x in (direct, fanout, topic)]  # an exchange has one type
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

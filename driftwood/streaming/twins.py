@@ -65,8 +65,19 @@ def counters_stream(messages: DataFrame, window: str = "1 hour", late: str = "1
     return messages.withWatermark("sent", late).groupBy(w, "message_type").agg(F.count("*").alias("messages")).select(F.col("window.start").alias("start"), "message_type", "messages")
 
 
-def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """What is there now, in a memory table."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """What is there now, run through df and written to a table in folder, which all executors share.
+
+    In append mode the file sink writes every row once; in complete mode each batch replaces the table.
+    """
+    out = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        q = out.format("parquet").option("path", f"{folder}/table").start()
+    else:
+        q = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/table")).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/table")
+
+
+def state_in_rocksdb(spark) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -33,9 +33,17 @@ class Workspace:
         root = conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"  # the latter where nothing is set, as in tests
         self.spark, self.root = spark, f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
+    def save(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """df, written and read back; batch_rows bounds the rows of an Arrow batch, where a row is a whole group."""
+        path, key = f"{self.root}/{name}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+        was = self.spark.conf.get(key)
+        if batch_rows:
+            self.spark.conf.set(key, batch_rows)
+        try:
+            df.write.parquet(path)
+        finally:
+            if batch_rows:
+                self.spark.conf.set(key, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

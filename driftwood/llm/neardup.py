@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import U64, Workspace, chunks, mix, random64, same, shingle_sets, utf8
 from .components import connected_components
 
-BANDS, ROWS, BLOCK, ROUNDS = 40, 5, 256, 3
+BANDS, ROWS, BLOCK, ROUNDS = 40, 5, 256, 1
+#: Groups of documents that an Arrow batch holds at most.
+GROUPS = 200
 #: A pair at 0.85 agrees on fewer than 0.65 of 200 coordinates with a probability under 3e-11 (Chernoff).
 SKETCH_SLACK = 0.2
 _BAND = random64(21, ROWS) | U64(1)
@@ -71,25 +73,49 @@ def _sketched(size: int, bands: int, rows: int):
 
 
 def _near_blocks(share: float, percent: int):
-    """Pairs of different labels within lists of members whose sizes and sketches leave the threshold possible."""
+    """(block, pairs): the pairs of different labels whose sizes and sketches leave the threshold possible, where there are any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for bucket, row in zip(batch["bucket"].to_pylist(), batch["members"]):
+            rows, pairs = [], []
+            for k, (block, row) in enumerate(zip(batch["block"].to_pylist(), batch["members"])):
                 m = row.values
                 bands = m.field("bands").flatten().to_numpy().reshape(len(m), -1)
-                side, doc, label, n = (m.field(k).to_numpy() for k in ("side", "doc", "label", "n_shingles"))
+                side, doc, label, n = (m.field(c).to_numpy() for c in ("side", "doc", "label", "n_shingles"))
                 low = np.stack([np.frombuffer(x, np.uint8) for x in m.field("low").to_pylist()])
-                one, two = (side == side.min()), (side == side.max())
-                for i in np.flatnonzero(one):
-                    js = np.flatnonzero(two & (label != label[i]) & ((side != side[i]) | (doc > doc[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+                found = []
+                for i in np.flatnonzero(side == side.min()):
+                    js = np.flatnonzero((side == side.max()) & (label != label[i]) & ((side != side[i]) | (doc > doc[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
                     if len(js):
-                        js = js[bands[i][(bands[js] == bands[i]).argmax(1)] == bucket]  # else they meet in another bucket
+                        js = js[bands[i][(bands[js] == bands[i]).argmax(1)] == block["bucket"]]  # else they meet in another bucket
                         js = js[(low[js] == low[i]).mean(1) >= share]
-                    left.append(np.minimum(doc[i], doc[js]))
-                    right.append(np.maximum(doc[i], doc[js]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                        found += [{"a": int(doc[i]), "b": int(x)} for x in doc[js]]
+                if found:
+                    rows.append(k)
+                    pairs.append(found)
+            yield pa.RecordBatch.from_arrays([batch["block"].take(pa.array(rows, pa.int64())), pa.array(pairs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["block", "pairs"])
+
+    return run
+
+
+def _checked(size: int, percent: int):
+    """The pairs of each block that meet the threshold on full sets, from the texts of its members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for pairs, members in zip(batch["pairs"], batch["members"]):
+                docs, known = members.values.field("doc").to_pylist(), {}
+                raw, off = utf8(members.values.field("text"))
+                for i, j in chunks(off):
+                    known.update(zip(docs[i:j], shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], size)))
+                for x, y in zip(pairs.values.field("a").to_pylist(), pairs.values.field("b").to_pylist()):
+                    one, two = known[x], known[y]
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    if 100 * both >= percent * (len(one) + len(two) - both):
+                        a.append(x)
+                        b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -130,7 +156,7 @@ def _verified(size: int, percent: int):
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, work: Workspace, name: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of representatives that are links; sketches first, then full sets in groups of one leader."""
+    """The pairs (a, b) that are links; sketches first, then full sets in groups of one leader and BLOCK / 2 others."""
     sides = [reps.select(F.col("doc").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("low").alias(f"low_{x}")) for x in "ab"]
     met = pairs.join(sides[0], "a").join(sides[1], "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     likely = work.save(met.select("a", "b", "low_a", "low_b").mapInArrow(_likely(percent / 100 - SKETCH_SLACK), "a long, b long"), f"{name}-likely")
@@ -138,7 +164,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, work: Workspace
     groups = likely.join(likely.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", part.alias("part"), "b")
     need = groups.select("a", "part", F.col("b").alias("doc")).unionByName(groups.select("a", "part", F.col("a").alias("doc"))).distinct()
     wanted = need.join(texts, "doc").groupBy("a", "part").agg(F.collect_list(F.struct("doc", "text")).alias("members"))
-    return work.save(wanted.select("a", "members").mapInArrow(_verified(size, percent), "a long, b long"), f"{name}-links")
+    return work.save(wanted.select("a", "members").mapInArrow(_verified(size, percent), "a long, b long"), f"{name}-links", GROUPS)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, work: Workspace | None = None) -> DataFrame:
@@ -183,12 +209,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
         pairs = shared.join(leaders, "bucket").where("own <> label").select("a", F.col("doc").alias("b"))
     left = shared.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks"))
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "doc", "label")
-    lists = dealt.join(reps.select("doc", "n_shingles", "low", "bands"), "doc").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("side", "doc", "label", "n_shingles", "low", "bands")).alias("members"))
-    rest = lists.where("size(members) > 1").select("bucket", "members").mapInArrow(_near_blocks(percent / 100 - SKETCH_SLACK, percent), "a long, b long").distinct()
-    more = _verify(work.save(rest, "rest"), reps, found, work, "rest", shingle, percent)
+    block = F.struct("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.select(block.alias("block"), F.col("block").alias("side"), "doc", "label")
+    lists = dealt.join(reps.select("doc", "n_shingles", "low", "bands"), "doc").groupBy("block").agg(F.collect_list(F.struct("side", "doc", "label", "n_shingles", "low", "bands")).alias("members"))
+    near = lists.where("size(members) > 1").mapInArrow(_near_blocks(percent / 100 - SKETCH_SLACK, percent), "block struct<bucket:long,i:long,j:long>, pairs array<struct<a:long,b:long>>")
+    near = work.save(near, "near", GROUPS)
+    need = near.select("block", F.explode(F.array_distinct(F.concat("pairs.a", "pairs.b"))).alias("doc"))
+    members = need.join(found, "doc").groupBy("block").agg(F.collect_list(F.struct("doc", "text")).alias("members"))
+    more = work.save(near.join(members, "block").select("pairs", "members").mapInArrow(_checked(shingle, percent), "a long, b long"), "more", GROUPS)
     labels = connected_components(links.unionByName(more), work, "all")
-    work.drop(f"mixed-{ROUNDS}", "texts", "rest-likely", "rest")
+    work.drop(f"mixed-{ROUNDS}", "texts", "near")
     named = classes.withColumn("rep", F.xxhash64("doc", *sets)).join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
     named = work.save(named.join(least, "label").select(*sets, "component_id"), "named")

@@ -203,10 +203,10 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, *, length: int = 400, work: Workspace | None = None, hot: int = HOT) -> DataFrame:
-    """docs with a column spans: the maximal runs [a, b) of UTF-8 bytes covered by a repeated string of `length` bytes.
+    """docs with a column _repeated: the maximal runs [a, b) of UTF-8 bytes covered by a repeated string of `length` bytes.
 
     A string repeats if it starts at another place too, in the same document or another; matches never cross
-    documents. Null and short texts have no spans (null). Rows repeated under one doc_id count as documents of
+    documents. Null and short texts have none (null). Rows repeated under one doc_id count as documents of
     their own, so their texts repeat; a null doc_id is an id like any other. Other columns pass through.
     """
     work = work or Workspace(docs.sparkSession, "repeats")
@@ -235,32 +235,32 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, work: Workspace | None
     work.drop("shared", "kinds", "fragments")
     left = docs.withColumn("_th", F.xxhash64("text"))
     on = left["doc_id"].eqNullSafe(spans["doc_id"]) & (left["_th"] == spans["th"])
-    return left.join(spans, on, "left").select(*(left[c] for c in docs.columns), spans["spans"])
+    return left.join(spans, on, "left").select(*(left[c] for c in docs.columns), spans["spans"].alias("_repeated"))
 
 
 def _gaps(n: str) -> str:
-    """SQL for the runs [a, b) of [0, n) outside spans."""
-    return f"transform(sequence(0, size(spans)), i -> struct(if(i = 0, 0, element_at(spans, i).b) AS a, if(i = size(spans), {n}, element_at(spans, i + 1).a) AS b))"
+    """SQL for the runs [a, b) of [0, n) outside _repeated."""
+    return f"transform(sequence(0, size(_repeated)), i -> struct(if(i = 0, 0, element_at(_repeated, i).b) AS a, if(i = size(_repeated), {n}, element_at(_repeated, i + 1).a) AS b))"
 
 
 def without_repeats(spanned: DataFrame) -> DataFrame:
-    """spanned with kept: the bytes outside spans, in order (null text: empty)."""
+    """spanned with _kept: the bytes outside _repeated, in order (null text: empty)."""
     raw = spanned.withColumn("_raw", F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     cut = f"aggregate({_gaps('octet_length(_raw)')}, x'', (out, g) -> concat(out, substring(_raw, g.a + 1, g.b - g.a)))"
-    return raw.withColumn("kept", F.when(F.col("spans").isNull(), F.col("_raw")).otherwise(F.expr(cut))).drop("_raw")
+    return raw.withColumn("_kept", F.when(F.col("_repeated").isNull(), F.col("_raw")).otherwise(F.expr(cut))).drop("_raw")
 
 
 def removal_digest(docs: DataFrame, *, length: int = 400) -> DataFrame:
     out = without_repeats(repeated_spans(docs, length=length))
     n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    removed = F.expr("if(spans is null, 0L, aggregate(spans, 0L, (n, s) -> n + (s.b - s.a)))")
-    return out.select("doc_id", n.alias("n_bytes"), removed.alias("n_removed"), F.expr("if(spans is null, 0L, cast(size(spans) AS long))").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    removed = F.expr("if(_repeated is null, 0L, aggregate(_repeated, 0L, (n, s) -> n + (s.b - s.a)))")
+    return out.select("doc_id", n.alias("n_bytes"), removed.alias("n_removed"), F.expr("if(_repeated is null, 0L, cast(size(_repeated) AS long))").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
 def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = []
-        for t, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist()):
+        for t, spans in zip(batch["text"].to_pylist(), batch["_repeated"].to_pylist()):
             raw, at, kept = t.encode(), 0, []
             for s in spans:
                 a, b = s["a"], s["b"]
@@ -271,8 +271,8 @@ def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 kept.append(raw[at:a])
                 at = b
             text.append(b"".join([*kept, raw[at:]]).decode())
-        rest = [batch[c] for c in batch.schema.names if c not in ("text", "spans")]
-        names = [c for c in batch.schema.names if c not in ("text", "spans")]
+        rest = [batch[c] for c in batch.schema.names if c not in ("text", "_repeated")]
+        names = [c for c in batch.schema.names if c not in ("text", "_repeated")]
         yield pa.RecordBatch.from_arrays([*rest, pa.array(text, pa.string())], [*names, "text"])
 
 
@@ -282,9 +282,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 400) -> DataFrame:
     n_chars follows the text, if docs has it; rows without repeats stay as they are, null and empty texts too.
     """
     spanned = repeated_spans(docs, length=length)
-    clean = spanned.where("spans is null").select(docs.columns)
+    clean = spanned.where("_repeated is null").select(docs.columns)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    cut = spanned.where("spans is not null").mapInArrow(_whole_characters, f"{fields}, text string").where("text <> ''")
+    cut = spanned.where("_repeated is not null").mapInArrow(_whole_characters, f"{fields}, text string").where("text <> ''")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return clean.unionByName(cut.select(docs.columns))

@@ -80,3 +80,24 @@ def last_of_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     """The latest row of each key: an upsert's result."""
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def update_versions(store: DataFrame, changes: DataFrame, key: str = "correlation_id") -> DataFrame:
+    """Optimistic updates: store (key, version, state) after changes (key, expected, new_state), with outcome.
+
+    A change holds if the version is the expected one, and adds one to it; of several for a key the smallest state wins.
+    A key without a change is unchanged, one whose version has moved on is a conflict and stays as it is.
+    """
+    one = changes.groupBy(key, "expected").agg(F.min("new_state").alias("new_state"))
+    per_key = one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("expected", "new_state"))).alias("_new"))
+    met = store.join(per_key, key, "left").withColumn("_to", F.try_element_at("_new", F.col("version")))
+    outcome = F.when(F.col("_new").isNull(), F.lit("unchanged")).when(F.col("_to").isNull(), F.lit("conflict")).otherwise(F.lit("updated"))
+    return met.select(key, F.when(F.col("_to").isNotNull(), F.col("version") + 1).otherwise(F.col("version")).alias("version"), F.coalesce("_to", "state").alias("state"), outcome.alias("outcome"))
+
+
+def single(rows: DataFrame, condition: Column):
+    """The one row that meets the condition, or None; two are an error."""
+    found = rows.where(condition).limit(2).collect()
+    if len(found) > 1:
+        raise ValueError("more than one row matches")
+    return found[0] if found else None

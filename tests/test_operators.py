@@ -159,3 +159,25 @@ def test_bad_limits_are_refused(spark):
         limits.expired(F.lit(T0), 0, F.lit(T0))
     with pytest.raises(ValueError):
         stores.pending(spark.range(1), 0)
+
+
+def test_options_know_their_limits():
+    from driftwood.operators import config
+
+    for make in (lambda: config.OutboxOptions(batch=10_001), lambda: config.OutboxOptions(retention_seconds=10), lambda: config.FlowOptions(max_in_flight=0), lambda: config.RetryPolicy("exponential", 3, 100, max_ms=1), lambda: config.RetryPolicy("odd", 3, 100)):
+        with pytest.raises(ValueError):
+            make()
+
+
+def test_single_refuses_two(spark):
+    assert stores.single(spark.range(3), F.col("id") == 1).id == 1
+    assert stores.single(spark.range(3), F.col("id") == 9) is None
+    with pytest.raises(ValueError):
+        stores.single(spark.range(3), F.col("id") > 0)
+
+
+def test_order_is_checked_within_and_between_slices(spark):
+    from driftwood.operators import transport
+
+    rows = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (1, 3, 6), (2, 1, 5), (2, 2, 4), (3, 1, 9), (3, 4, 8)], "k int, o int, t int")
+    assert {r.k: r.ordered for r in transport.in_order(rows, "k", "o", "t", "o DIV 3").collect()} == {1: True, 2: False, 3: False}

@@ -2,7 +2,7 @@
 
 import pytest
 
-from driftwood.plans import catalog, streams  # noqa: F401
+from driftwood.plans import catalog, streams, transports  # noqa: F401
 
 
 def _norm(x):

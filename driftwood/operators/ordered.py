@@ -17,7 +17,17 @@ def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: Colum
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.withColumn("_run", F.sum("_value").over(inside)).join(starts, [*keys, "_slice"]).withColumn(name, F.col("_run") + F.col("_start")).drop("_slice", "_value", "_run", "_start")
+    run = cut.withColumn("_run", F.sum("_value").over(inside))
+    return null_safe_join(run, starts, [*keys, "_slice"]).withColumn(name, F.col("_run") + F.col("_start")).drop("_slice", "_value", "_run", "_start")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join in which null keys are equal; the columns of left, then the rest of right."""
+    named = right.select(*[F.col(c).alias(f"_right_{c}") for c in on], *[c for c in right.columns if c not in on])
+    condition = F.lit(True)
+    for c in on:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    return left.join(named, condition).drop(*[f"_right_{c}" for c in on])
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str], slice_by: str, name: str) -> DataFrame:

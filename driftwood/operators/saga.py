@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import null_safe_join
+
 INITIAL = "Initial"
 
 
@@ -146,7 +148,7 @@ def transitions(events: DataFrame, machine: Machine, slice_by: str) -> DataFrame
         )
         return F.struct(F.when(final, F.lit(INITIAL)).otherwise(to).alias("state"), F.concat(acc["rows"], F.array(row)).alias("rows"))
 
-    met = _slices(events, slice_by).join(starts, ["key", "slice"])
+    met = null_safe_join(_slices(events, slice_by), starts, ["key", "slice"])
     items = met.schema["items"].dataType.elementType
     row_type = f"array<struct<ts:{items['ts'].dataType.simpleString()},id:{items['id'].dataType.simpleString()},event:string,from_state:string,to_state:string,emitted:string,finalized:boolean,timeout_ms:bigint,handled:boolean>>"
     rows = F.aggregate("items", F.struct(F.col("state").alias("state"), F.array().cast(row_type).alias("rows")), trail)["rows"]

@@ -181,3 +181,11 @@ def test_order_is_checked_within_and_between_slices(spark):
 
     rows = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (1, 3, 6), (2, 1, 5), (2, 2, 4), (3, 1, 9), (3, 4, 8)], "k int, o int, t int")
     assert {r.k: r.ordered for r in transport.in_order(rows, "k", "o", "t", "o DIV 3").collect()} == {1: True, 2: False, 3: False}
+
+
+def test_null_keys_and_times_are_kept(spark):
+    rows = spark.createDataFrame([(1, T0, 1), (None, T0, 2), (1, None, 3), (None, None, 4)], "q long, ts timestamp_ntz, id long")
+    got = {r.id: r.n for r in limits.running_sum(rows, ["q"], ["ts", "id"], F.lit(1), "date_trunc('day', ts)", "n").collect()}
+    assert got == {3: 1, 1: 2, 4: 1, 2: 2}
+    events = rows.withColumn("event", F.lit("signup")).withColumnRenamed("q", "key")
+    assert transitions(events, FLOW, "date_trunc('day', ts)").count() == 4

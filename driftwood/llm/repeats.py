@@ -215,8 +215,9 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, work: Workspace | None
     places = f"doc_id {key}, th long, first int, last int, at int, anchor long, digest long"
     all_ = work.save(text.mapInArrow(_anchored(length), places), "anchors")
     often = all_.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("n > 1")
+    often = work.save(often, "often")  # so that the join is between plain tables, which Spark can split where an anchor is hot
     met = work.save(all_.join(often.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"), "shared")
-    work.drop("anchors")
+    work.drop("anchors", "often")
     kinds = work.save(met.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("doc_id", "th", "first", "last", "at")).alias("x")), "kinds")
     sizes = kinds.where("mixed").groupBy("anchor").agg((F.count("*") > hot).alias("hot"))
     one = kinds.where("mixed").groupBy("x.doc_id", "x.th").agg(F.collect_list(F.struct("anchor", "digest", "x.first", "x.last", "x.at")).alias("parts"))

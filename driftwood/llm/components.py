@@ -20,13 +20,16 @@ def connected_components(links: DataFrame, work: Workspace, name: str) -> DataFr
     labels = work.save(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), f"{name}-0")
     k = 0
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("there")), "b")
-        near = seen.groupBy(F.col("a").alias("node")).agg(F.min("there").alias("near"))
+        there = labels.select(F.col("node").alias("b"), F.col("label").alias("there"))
+        near = both.join(there, "b").groupBy(F.col("a").alias("node")).agg(F.min("there").alias("near"))
+        # one row for each label, written so that the joins with it are between plain tables, which Spark can split where skewed
         hook = labels.join(near, "node").groupBy(F.col("label").alias("root")).agg(F.min("near").alias("under"))
-        moved = labels.join(hook.select(F.col("root").alias("label"), "under"), "label").select("node", F.col("label").alias("was"), F.least("label", "under").alias("label"))
-        jump = moved.groupBy(F.col("was").alias("root")).agg(F.min("label").alias("to"))
-        out = moved.join(jump.select(F.col("root").alias("label"), "to"), "label", "left").select("node", F.least("label", F.coalesce("to", "label")).alias("label"), (F.col("was") != F.least("label", F.coalesce("to", "label"))).alias("changed"))
+        hook = work.save(hook.select("root", F.least("root", "under").alias("under")), f"{name}-hook-{k}")
+        above = hook.select(F.col("root").alias("under"), F.col("under").alias("top"))
+        jump = hook.join(above, "under", "left").select(F.col("root").alias("label"), F.least("under", F.coalesce("top", "under")).alias("to"))
+        out = labels.join(jump, "label").select("node", F.col("to").alias("label"), (F.col("to") != F.col("label")).alias("changed"))
         out = work.save(out, f"{name}-{k + 1}")
+        work.drop(f"{name}-hook-{k}")
         labels, k = out.select("node", "label"), k + 1
         work.drop(f"{name}-{k - 1}")
         if not out.where("changed").limit(1).count():

@@ -188,11 +188,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     texts = docs.join(reps.select("doc_id").distinct(), "doc_id", "left_semi")
     hit = F.explode("bands").alias("bucket")
     members = reps.select("doc", hit)
-    full = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    # written first, as are leaders and mixed buckets: a join of plain tables can be split where a bucket is hot
+    full = work.save(members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "full")
     shared = work.save(members.join(full, "bucket"), "shared")
     weight = shared.groupBy("doc").agg(F.sum("m").alias("weight"))
     found = work.save(_keyed(texts, reps.join(weight, "doc", "left_semi").select("doc", "doc_id", *sets), shingle), "texts")
     leaders = shared.join(weight, "doc").groupBy("bucket").agg(F.max(F.struct("weight", F.col("doc").alias("a"))).alias("x")).select("bucket", "x.a")
+    leaders = work.save(leaders, "leaders")
     pairs = shared.join(leaders, "bucket").where("a <> doc").select("a", F.col("doc").alias("b"))
     links = None
     for k in range(ROUNDS + 1):
@@ -201,11 +203,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
         labels = connected_components(links, work, f"round-{k}")
         tagged = shared.select("bucket", "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
         mixed = tagged.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", "size")
+        mixed = work.save(mixed, f"cut-{k}")
         shared = work.save(tagged.join(mixed, "bucket"), f"mixed-{k}")
         work.drop("shared" if not k else f"mixed-{k - 1}", f"pairs-{k}", f"round-{k}-likely", f"round-{k}-edges")
-        if shared.isEmpty():
-            break  # every bucket is of one component: nothing is left to compare
+        if k == ROUNDS or shared.isEmpty():
+            break  # if empty, every bucket is of one component
         leaders = shared.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("doc", F.lit(k)), F.col("doc").alias("a"), F.col("label").alias("own"))).alias("x")).select("bucket", "x.a", "x.own")
+        leaders = work.save(leaders, f"leaders-{k}")
         pairs = shared.join(leaders, "bucket").where("own <> label").select("a", F.col("doc").alias("b"))
     left = shared.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks"))
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,22 @@ _BLANKS = "\t\n\r\x0b\x0c"
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: A full stop or comma that ends a word: a token of its own either way, so that the word is kept once.
+_POINT = regex.compile(r"(?<=[^\W_])([.,])(?= |$)")
+
+
+def _folded(text: str) -> str:
+    """The text in lower case, as the tokenizer puts it, where that is safe: special tokens are matched before, and
+    beyond Latin-1 lower case may depend on neighbours."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class Encoder:
     """Token ids of whole texts. The tokenizer never joins characters across ASCII white space, so ids are kept by word.
 
@@ -44,10 +61,10 @@ class Encoder:
             self.known, self.older = {}, self.known
         known, older, out = self.known, self.older, []
         for t in texts:  # text by text: what the first look-up of a word brings near is there for the second
-            t = t or ""
+            t = _folded(t or "")
             for blank in _BLANKS:
                 t = t.replace(blank, " ")
-            words = t.split(" ")
+            words = _POINT.sub(r" \1", t).split(" ")
             if new := {w for w in words if w not in known}:
                 if again := new & older.keys():
                     known.update((w, older[w]) for w in again)

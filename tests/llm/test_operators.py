@@ -212,6 +212,19 @@ def test_packing_is_a_round_trip(docs, size):
             assert any(len(t) == p.doc_tokens and zlib.crc32(np.array(t[p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32 for t in texts)
 
 
+def test_encoding_word_by_word_is_the_tokenizer():
+    """Odd texts: case beyond Latin-1, special tokens in either case, runs of punctuation, control and Unicode blanks."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, encode, rng = Tokenizer.from_file(path), packing.Encoder(path, 2), random.Random(8)
+    odd = ["it's Don't WE'LL. ａＢ x,y. z., a!!, b.", "<|endoftext|>. <|ENDOFTEXT|>, <|startoftext|>x", "ΣΑΣ. ΣΑΣ İI", "a\x1cb\x85c\xa0d. e\u2003f", "½. ²,3. 12. é. e\u0301.", "", None, " ", ".", "a.\nb,\tc", "_. a_. _a,", "ß. ẞ µ. ÀÉ,"]
+    odd += ["".join(rng.choice("ab.,!' \nÉé<|>0_") for _ in range(rng.randint(1, 40))) for _ in range(500)]
+    for t, ids in zip(odd, encode(odd)):
+        assert ids.tolist() == model.encode(t or "", add_special_tokens=False).ids + [2], repr(t)
+
+
 def test_sum_of_squares_choice():
     """Each placement makes the sum of squared counts smallest, over all levels."""
     rng = random.Random(4)

@@ -153,9 +153,9 @@ def _packed(path: str | None, end: int, size: int):
 
         encode, pack = encoder(path or public_tokenizers.path("word_bpe_49k.json"), end), Packer(size)
         base, made = TaskContext.get().partitionId() << 40, 0
-        held: dict[int, np.ndarray] = {}  # the ids of documents with a piece in an open window
+        held: dict[int, tuple[int, np.ndarray]] = {}  # of documents with a piece in an open window, the ids from there on
         waits: dict[int, int] = {}
-        names: dict[int, object] = {}
+        names: dict[int, tuple[object, int]] = {}
         kind, seen = pa.int64(), 0
 
         def rows(windows: list[list[tuple]]) -> pa.RecordBatch:
@@ -164,8 +164,8 @@ def _packed(path: str | None, end: int, size: int):
             for w in windows:
                 at = 0
                 for doc, start, n in w:
-                    ids = held[doc]
-                    for c, x in zip(cols, (names[doc], start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), base + made, at)):
+                    (first, ids), (name, tokens) = held[doc], names[doc]
+                    for c, x in zip(cols, (name, start, n, zlib.crc32(ids[start - first : start - first + n].tobytes()), tokens, base + made, at)):
                         c.append(x)
                     at += n
                     waits[doc] -= n
@@ -177,16 +177,18 @@ def _packed(path: str | None, end: int, size: int):
         for batch in batches:
             kind = batch["doc_id"].type
             for i in range(0, len(batch), 512):
-                part, done = batch.slice(i, 512), []
+                part, done, before = batch.slice(i, 512), [], seen
                 for name, ids in zip(part["doc_id"].to_pylist(), encode(part["text"].to_pylist())):
                     doc, seen = seen, seen + 1
-                    held[doc], waits[doc], names[doc] = ids, len(ids), name
+                    held[doc], waits[doc], names[doc] = (0, ids), len(ids), (name, len(ids))
                     whole = len(ids) // size * size
                     done += [[(doc, k, size)] for k in range(0, whole, size)]
                     if len(ids) > whole:
                         done += pack.place((doc, whole, len(ids) - whole))
                 if done:
                     yield rows(done)
+                for doc in held.keys() & range(before, seen):
+                    held[doc] = (names[doc][1] - waits[doc], held[doc][1][-waits[doc] :].copy())
         if last := pack.pour(end=True):
             yield rows(last)
 

@@ -433,10 +433,12 @@ def outbox_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outbox(spark, sf_dir).where("delivered_at IS NULL").groupBy("destination").agg(F.count("*").alias("waiting"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT id) AS BIGINT) AS ids FROM (SELECT event_id AS id FROM events WHERE event_id % 2 = 0 UNION SELECT event_id FROM events WHERE event_id % 3 = 0) x")
+@query("SELECT id, count(*) = 1 AS known_once, CAST(max(CASE WHEN source = 'old' THEN 1 ELSE 0 END) AS INTEGER) AS was_there FROM (SELECT event_id AS id, 'old' AS source FROM events UNION ALL SELECT event_id * 2, 'new' FROM events WHERE event_id * 2 NOT IN (SELECT event_id FROM events)) x GROUP BY 1")
 def outbox_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New rows whose ids are twice the old ones: those that are there already are passed over."""
     o = outbox(spark, sf_dir)
-    return stores.append(o.where("id % 2 = 0"), o.where("id % 3 = 0").drop("delivered_at")).agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"))
+    both = stores.append(o.withColumn("old", F.lit(1)), o.drop("delivered_at").withColumns({"id": F.col("id") * 2, "old": F.lit(0)}))
+    return both.groupBy("id").agg((F.count("*") == 1).alias("known_once"), F.max("old").alias("was_there"))
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS state, max(event_id) AS version FROM events GROUP BY 1")
@@ -459,10 +461,12 @@ def reqrep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.request_response(*_requests(spark, sf_dir), 90 * 86_400).select("request_id", "replied", "reply")
 
 
-@query(f"SELECT correlation_id, CAST(count(*) AS BIGINT) AS replies FROM ({_RESP}) r WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = r.correlation_id AND o_orderkey % 7 <> 0) GROUP BY 1")
+@query("SELECT l_orderkey, CAST(count(*) AS BIGINT) AS replies FROM lineitem l WHERE l_returnflag = 'R' OR NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l.l_orderkey) GROUP BY 1")
 def reqrep_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, r = _requests(spark, sf_dir)
-    return stores.orphans(q.where("request_id % 7 <> 0"), r).groupBy("correlation_id").agg(F.count("*").alias("replies"))
+    """Replies of returned lines have lost their correlation id; others may answer orders that were never placed."""
+    q, _ = _requests(spark, sf_dir)
+    r = read(spark, sf_dir, "lineitem").selectExpr("IF(l_returnflag = 'R', NULL, l_orderkey) AS correlation_id", "l_orderkey")
+    return stores.orphans(q, r).groupBy("l_orderkey").agg(F.count("*").alias("replies"))
 
 
 # --- retries, queues, flow -------------------------------------------------------------------------------------------

@@ -45,12 +45,13 @@ def processing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey AS correlation_id, CAST(v + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS version, CASE WHEN c_custkey % 3 = 0 THEN 'Next' ELSE 'Old' END AS state,
-  CASE c_custkey % 3 WHEN 0 THEN 'updated' WHEN 1 THEN 'conflict' ELSE 'unchanged' END AS outcome FROM (SELECT c_custkey, c_custkey % 4 AS v FROM customer) x""")
+SELECT c_custkey AS correlation_id, CAST(c_nationkey + CASE WHEN c_acctbal >= 0 AND c_mktsegment <> 'BUILDING' THEN 1 ELSE 0 END AS INTEGER) AS version,
+  CASE WHEN c_acctbal >= 0 AND c_mktsegment <> 'BUILDING' THEN 'Next' ELSE 'Old' END AS state,
+  CASE WHEN c_acctbal < 0 THEN 'unchanged' WHEN c_mktsegment <> 'BUILDING' THEN 'updated' ELSE 'conflict' END AS outcome FROM customer""")
 def saga_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = read(spark, sf_dir, "customer").selectExpr("c_custkey AS correlation_id", "CAST(c_custkey % 4 AS INT) AS version", "'Old' AS state")
-    changes = store.where("correlation_id % 3 < 2").selectExpr("correlation_id", "IF(correlation_id % 3 = 0, version, version + 7) AS expected", "'Next' AS new_state")
-    return stores.update_versions(store, changes)
+    rows = read(spark, sf_dir, "customer").selectExpr("c_custkey AS correlation_id", "c_nationkey AS version", "'Old' AS state", "c_acctbal", "c_mktsegment")
+    changes = rows.where("c_acctbal >= 0").selectExpr("correlation_id", "IF(c_mktsegment = 'BUILDING', version + 7, version) AS expected", "'Next' AS new_state")
+    return stores.update_versions(rows.select("correlation_id", "version", "state"), changes)
 
 
 @query("SELECT * FROM (VALUES ('b', 'no consumer'), ('b', 'prefetch must be above zero'), ('c', 'no transport'), ('d', 'concurrency must be above zero')) AS t(endpoint, error)")

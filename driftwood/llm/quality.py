@@ -69,7 +69,9 @@ def train(texts: list[str], labels: list[int], share: float, *, epochs: int = 60
     if not len(y) or y.min() == y.max():
         return net | {"b": np.array([prior])}
     raw, off = utf8(pa.array(texts, pa.string()))
-    bag, feats = passages(raw, off)
+    parts = [(i, passages(raw[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in chunks(off, 1 << 18)]  # a little at a time, on the driver
+    bag, feats = np.concatenate([i + p[0] for i, p in parts]), np.concatenate([p[1] for _, p in parts])
+    del raw, parts
     mid, wide = feats.mean(0), feats.std(0) + 1e-3
     feats = ((feats - mid) / wide).clip(-8, 8)
     first = np.searchsorted(bag, np.arange(len(y) + 1))

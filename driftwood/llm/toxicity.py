@@ -20,8 +20,8 @@ from .common import CHUNK_BYTES, LOWER, chunks, held_out, utf8
 from .labelled import sample
 
 BUCKETS, DIM, WINDOW, SIZES = 1 << 17, 16, 24, (3, 4, 5)
-#: The bound on the labelled rows of either class that are learned from.
-PER_CLASS = 700
+#: The bounds on the labelled rows of either class that are learned from, and on their bytes.
+PER_CLASS, MOST_BYTES = 700, 3 << 20
 _PLAIN = LOWER.copy()
 _PLAIN[:48] = _PLAIN[58:65] = _PLAIN[91:97] = _PLAIN[123:128] = 32
 
@@ -77,7 +77,9 @@ def train(texts: list[str], labels: list[int], share: float, *, epochs: int = 60
     if not len(y) or y.min() == y.max():
         return np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     raw, off = utf8(pa.array(texts, pa.string()))
-    parts = subwords(raw, off)
+    cuts = [(int(off[i]), subwords(raw[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in chunks(off, 1 << 18)]  # a little at a time, on the driver
+    parts = [(np.concatenate([o + c[k][0] for o, c in cuts], dtype=np.int32), np.concatenate([c[k][1] for _, c in cuts])) for k in range(len(SIZES))]
+    del cuts
     rng = np.random.default_rng(seed)
     vectors, soft, bias = np.zeros((BUCKETS, DIM)), rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)
     grown, softer, biased = np.full(BUCKETS, 1e-8), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
@@ -145,7 +147,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS,
     A null or empty text has the score of no evidence. A null doc_id is scored too; its held_out is null. Repeated rows are each scored; other columns
     are ignored. Without labels of both classes every document gets the share of label 1.
     """
-    weight, bias = train(*sample(docs, labels, "toxic", per_class))
+    weight, bias = train(*sample(docs, labels, "toxic", per_class, MOST_BYTES))
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scored(weight, bias), f"doc_id {kind}, score double")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -98,9 +98,9 @@ def train(texts: list[str], labels: list[int], share: float, *, epochs: int = 60
         for at, bucket in parts:
             i, j = np.searchsorted(at, a), np.searchsorted(at, b)
             m = j - i
-            rows = np.repeat(np.arange(len(use)), m)
-            got = bucket[np.arange(len(rows)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(i, m)]
-            picked.append((rows, got))
+            rows = np.repeat(np.arange(len(use), dtype=np.int32), m)
+            shift = (i - (np.cumsum(m) - m)).astype(np.int32)
+            picked.append((rows, bucket[np.arange(len(rows), dtype=np.int32) + shift[rows]]))
             n += m
         n = np.maximum(n, 1)
         for d in range(DIM):

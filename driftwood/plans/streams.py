@@ -13,7 +13,7 @@ from .catalog import FLOW, ORACLES, query
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

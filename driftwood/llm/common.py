@@ -29,8 +29,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, what: str):
-        conf = spark.sparkContext.getConf()
-        root = conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"  # the latter where nothing is set, as in tests
+        root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"  # the latter where nothing is set, as in tests
         self.spark, self.root = spark, f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Bytes of text that one numpy pass holds; the temporaries are about 60 times as much.
 CHUNK_BYTES = 2 << 20
+#: A longer document is worked on in pieces of so many bytes.
+PIECE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,6 +116,18 @@ _SHORT = random64(13, 8)
 
 def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (runs without white space, A-Z lower-cased), and how many each document has."""
+    if len(off) == 2 and len(raw) > PIECE_BYTES:
+        blank = np.flatnonzero(SPACE[raw])  # a piece ends where a word does
+        ends, out = np.searchsorted(blank, np.arange(PIECE_BYTES, len(raw), PIECE_BYTES)), []
+        cuts = np.unique(np.r_[0, blank[ends[ends < len(blank)]], len(raw)])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            out.append(_word_hashes(raw[a:b], np.array([0, b - a]))[0])
+        words = np.concatenate(out)
+        return words, np.array([len(words)])
+    return _word_hashes(raw, off)
+
+
+def _word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = LOWER[raw]
     inside = ~SPACE[raw]
     first = inside.copy()

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OPEN, CACHE = 4096, 300_000
+OPEN, CACHE, RUN = 4096, 300_000, 1 << 22
 _BLANKS = "\t\n\r\x0b\x0c"
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -44,6 +44,19 @@ def _folded(text: str) -> str:
     return text.lower()
 
 
+def _runs(text: str) -> Iterator[str]:
+    """A very long text in runs of about RUN characters, cut at blanks."""
+    at = 0
+    while len(text) - at > RUN:
+        cut = text.rfind(" ", at, at + RUN)
+        cut = cut if cut > at else text.find(" ", at + RUN)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:] if at else text
+
+
 class Encoder:
     """Token ids of whole texts. The tokenizer never joins characters across ASCII white space, so ids are kept by word.
 
@@ -61,17 +74,20 @@ class Encoder:
             self.known, self.older = {}, self.known
         known, older, out = self.known, self.older, []
         for t in texts:  # text by text: what the first look-up of a word brings near is there for the second
-            t = _folded(t or "")
-            for blank in _BLANKS:
-                t = t.replace(blank, " ")
-            words = _POINT.sub(r" \1", t).split(" ")
-            if new := {w for w in words if w not in known}:
-                if again := new & older.keys():
-                    known.update((w, older[w]) for w in again)
-                    new -= again
-                part = list(new)
-                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)))
-            out.append(np.frombuffer(b"".join(map(known.__getitem__, words)) + self.end, "<u4"))
+            parts = []
+            for run in _runs(t or ""):
+                run = _folded(run)
+                for blank in _BLANKS:
+                    run = run.replace(blank, " ")
+                words = _POINT.sub(r" \1", run).split(" ")
+                if new := {w for w in words if w not in known}:
+                    if again := new & older.keys():
+                        known.update((w, older[w]) for w in again)
+                        new -= again
+                    part = list(new)
+                    known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)))
+                parts += map(known.__getitem__, words)
+            out.append(np.frombuffer(b"".join(parts) + self.end, "<u4"))
         return out
 
 

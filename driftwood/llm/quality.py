@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import SPACE, chunks, held_out, utf8, word_hashes
 from .labelled import sample
 
@@ -107,11 +108,15 @@ def train(texts: list[str], labels: list[int], share: float, *, epochs: int = 60
 
 
 def score(raw: np.ndarray, off: np.ndarray, net: dict[str, np.ndarray]) -> np.ndarray:
-    bag, feats = passages(raw, off)
-    h = np.tanh(feats @ net["A"] + net["a"])
-    e = np.exp((np.tanh(h @ net["V"]) / (1 + np.exp(-(h @ net["U"])))) @ net["w"])
-    n = len(off) - 1
-    one = np.bincount(bag, e * (h @ net["c"]), n) / np.bincount(bag, e, n)
+    n, above, below = len(off) - 1, 0.0, 0.0
+    step = len(raw) if n > 1 else common.PIECE_BYTES // PASSAGE * PASSAGE  # a very long document is summed up piece by piece
+    for k in range(0, max(len(raw), 1), max(step, 1)):
+        piece = raw[k : k + step]
+        bag, feats = passages(piece, off if n > 1 else np.array([0, len(piece)]))
+        h = np.tanh(feats @ net["A"] + net["a"])
+        e = np.exp((np.tanh(h @ net["V"]) / (1 + np.exp(-(h @ net["U"])))) @ net["w"])
+        above, below = above + np.bincount(bag, e * (h @ net["c"]), n), below + np.bincount(bag, e, n)
+    one = above / below
     return 1 / (1 + np.exp(-np.clip(one + net["b"][0], -30, 30)))
 
 

@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import U64, Workspace, chunks, mix, random64, same, utf8
 
 GRAM, HOT, BUNDLE = 32, 8192, 8192
-_POS = (1 << 28) - 1
+_POS = (1 << 34) - 1
 _BYTE, _BYTE2 = random64(31, 256), random64(32, 256)
 _BASE = 0x9E3779B97F4A7C15 | 5
 _powers: dict[str, np.ndarray] = {}
@@ -77,13 +78,24 @@ def fragments(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray
     return np.searchsorted(off, first, "right") - 1, first, last, at, hashes[at], digest
 
 
+def _pieces(off: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(i, j, a, b): bytes [a, b) of documents [i, j); of a very long one in pieces, each window in one of them."""
+    for i, j in chunks(off):
+        a, b, step = int(off[i]), int(off[j]), common.PIECE_BYTES
+        if j > i + 1 or b - a <= step + length:
+            yield i, j, a, b
+        else:
+            for k in range(a, b - length + 1, step):
+                yield i, j, k, min(b, k + step + length - 1)
+
+
 def _anchored(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = utf8(batch["text"])
-            for i, j in chunks(off):
-                doc, first, last, at, key, digest = fragments(raw[off[i] : off[j]], off[i : j + 1] - off[i], length)
-                head, ids = off[i:j][doc] - off[i], pa.array(doc + i)
+            for i, j, a, b in _pieces(off, length):
+                doc, first, last, at, key, digest = fragments(raw[a:b], off[i : j + 1] - a if j > i + 1 else np.array([0, b - a]), length)
+                head, ids = (off[i:j] - a)[doc], pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].take(ids), batch["th"].take(ids), *(pa.array((x - head).astype(np.int32)) for x in (first, last, at)), pa.array(key.view(np.int64)), pa.array(digest.view(np.int64))], ["doc_id", "th", "first", "last", "at", "anchor", "digest"])
 
     return run

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import CHUNK_BYTES, LOWER, chunks, held_out, utf8
 from .labelled import sample
 
@@ -125,9 +126,17 @@ def train(texts: list[str], labels: list[int], share: float, *, epochs: int = 60
 
 
 def score(raw: np.ndarray, off: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
-    best = np.full(len(off) - 1, -np.inf)
-    doc, _, _, mean = averages(raw, off, weight)
-    np.maximum.at(best, doc, mean)
+    n, best, half = len(off) - 1, np.full(len(off) - 1, -np.inf), WINDOW // 2
+    step = max(len(raw), 1) if n > 1 else common.PIECE_BYTES // half * half  # a very long document goes piece by piece, in step with its windows
+    for k in range(0, max(len(raw), 1), step):
+        if n > 1:
+            doc, _, _, mean = averages(raw, off, weight)
+        elif k and len(raw) - k <= half:
+            break  # the last window of the piece before ends here
+        else:
+            piece, more = raw[k : k + step + half], raw[k : k + step + half + max(SIZES)]  # subwords may end beyond their window
+            doc, _, _, mean = averages(more, np.array([0, len(piece)]), weight, subwords(more, np.array([0, len(more)])))
+        np.maximum.at(best, doc, mean)
     return 1 / (1 + np.exp(-np.clip(np.where(np.isinf(best), 0, best) + bias, -30, 30)))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftwood.llm import decontaminate, html_text, licences, neardup, packing, quality, repeats, topk, toxicity, urls
+from driftwood.llm import common, decontaminate, html_text, licences, neardup, packing, quality, repeats, topk, toxicity, urls
 from driftwood.llm.common import chunks, shingle_sets, utf8
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -57,6 +57,27 @@ def test_shingle_sets_have_the_right_sizes():
     assert got == [len(shingles(t)) for t in texts]
 
 
+def test_long_documents_go_in_pieces(monkeypatch):
+    """The same hashes and fragments' windows, and nearly the same scores, however long the pieces are."""
+    rng = random.Random(12)
+    text = prose(rng, 4000) + " idiot " + prose(rng, 500) + " " + "x" * 3000
+    raw, off = utf8(pa.array([text]))
+    weight = rng.random() * np.ones(toxicity.BUCKETS, np.float32)
+    weight[: toxicity.BUCKETS // 2] = -1
+    net = quality.train([prose(rng, 80) if i % 2 else "again " * 150 for i in range(60)], [i % 2 for i in range(60)], 0.5, epochs=5)
+
+    def all_of():
+        found = [(f + a, last + a) for i, j, a, b in repeats._pieces(off, 100) for f, last in zip(*repeats.fragments(raw[a:b], np.array([0, b - a]), 100)[1:3])]
+        return shingle_sets(raw, off)[0], sorted(w for f, last in found for w in range(f, last + 1)), toxicity.score(raw, off, weight, 0.0)[0], quality.score(raw, off, net)[0]
+
+    one = all_of()
+    monkeypatch.setattr(common, "PIECE_BYTES", 3000)
+    monkeypatch.setattr(repeats, "chunks", lambda off: [(0, 1)])
+    two = all_of()
+    assert (one[0] == two[0]).all() and one[1] == two[1] == list(range(len(raw) - 99))
+    assert abs(one[2] - two[2]) < 1e-9 and abs(one[3] - two[3]) < 0.02
+
+
 def components(rows, percent):
     sets = [(r[0], shingles(r[1])) for r in rows if r[0] is not None]
     up = {i: i for i, _ in sets}
@@ -212,7 +233,7 @@ def test_packing_is_a_round_trip(docs, size):
             assert any(len(t) == p.doc_tokens and zlib.crc32(np.array(t[p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32 for t in texts)
 
 
-def test_encoding_word_by_word_is_the_tokenizer():
+def test_encoding_word_by_word_is_the_tokenizer(monkeypatch):
     """Odd texts: case beyond Latin-1, special tokens in either case, runs of punctuation, control and Unicode blanks."""
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -221,6 +242,7 @@ def test_encoding_word_by_word_is_the_tokenizer():
     model, encode, rng = Tokenizer.from_file(path), packing.Encoder(path, 2), random.Random(8)
     odd = ["it's Don't WE'LL. ａＢ x,y. z., a!!, b.", "<|endoftext|>. <|ENDOFTEXT|>, <|startoftext|>x", "ΣΑΣ. ΣΑΣ İI", "a\x1cb\x85c\xa0d. e\u2003f", "½. ²,3. 12. é. e\u0301.", "", None, " ", ".", "a.\nb,\tc", "_. a_. _a,", "ß. ẞ µ. ÀÉ,"]
     odd += ["".join(rng.choice("ab.,!' \nÉé<|>0_") for _ in range(rng.randint(1, 40))) for _ in range(500)]
+    monkeypatch.setattr(packing, "RUN", 15)
     for t, ids in zip(odd, encode(odd)):
         assert ids.tolist() == model.encode(t or "", add_special_tokens=False).ids + [2], repr(t)
 

@@ -181,10 +181,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     rows_ = work.save(docs.mapInArrow(_sketched(shingle, bands, rows), schema), "sketches")
     sets = ["n_shingles", "s1", "s2"]
     known = rows_.where("n_shingles > 0 and doc_id is not null")
-    # one text goes on for each set, under the class's smallest id; (doc, sets) tell apart rows that share an id
-    classes = work.save(known.groupBy(*sets).agg(F.min("doc_id").alias("doc")), "classes")
-    reps = known.join(classes.withColumnRenamed("doc", "doc_id"), ["doc_id", *sets]).dropDuplicates(["doc_id", *sets])
-    reps = work.save(reps.withColumn("doc", F.xxhash64("doc_id", *sets)), "reps")
+    # one text goes on for each set, under the class's smallest id; where an id has several sets, a hash tells them apart
+    base = work.save(known.groupBy(*sets).agg(F.min("doc_id").alias("doc_id")), "base")
+    twice = base.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1")
+    own_key = F.when(F.col("times").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", *sets))
+    classes = work.save(base.join(twice, "doc_id", "left").withColumn("doc", own_key).drop("times"), "classes")
+    reps = work.save(known.join(classes, ["doc_id", *sets]).dropDuplicates(["doc"]), "reps")
     texts = docs.join(reps.select("doc_id").distinct(), "doc_id", "left_semi")
     hit = F.explode("bands").alias("bucket")
     members = reps.select("doc", hit)
@@ -222,11 +224,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     members = need.join(found, "doc").groupBy("block").agg(F.collect_list(F.struct("doc", "text")).alias("members"))
     more = work.save(near.join(members, "block").select("pairs", "members").mapInArrow(_checked(shingle, percent), "a long, b long"), "more", GROUPS)
     labels = connected_components(links.unionByName(more), work, "all")
-    work.drop(f"mixed-{ROUNDS}", "texts", "near")
-    named = classes.withColumn("rep", F.xxhash64("doc", *sets)).join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
+    named = classes.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    least = work.save(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     named = work.save(named.join(least, "label").select(*sets, "component_id"), "named")
-    work.drop("reps", "classes", "all-edges")
+    work.drop("base", "classes", "reps", "full", "leaders", "texts", "near", "more", "all-edges", "least", *(f"{x}-{k}" for x in ("cut", "mixed", "leaders") for k in range(ROUNDS + 1)))
     out = rows_.select("doc_id", *sets).join(named, sets, "left")
     own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))

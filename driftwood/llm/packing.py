@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OPEN, CACHE, RUN = 4096, 300_000, 1 << 22
+OPEN, CACHE, RUN = 4096, 500_000, 1 << 22
 _BLANKS = "\t\n\r\x0b\x0c"
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

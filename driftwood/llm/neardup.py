@@ -161,7 +161,8 @@ def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, work: Workspace
     met = pairs.join(sides[0], "a").join(sides[1], "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     likely = work.save(met.select("a", "b", "low_a", "low_b").mapInArrow(_likely(percent / 100 - SKETCH_SLACK), "a long, b long"), f"{name}-likely")
     part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / (BLOCK // 2)))
-    groups = likely.join(likely.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", part.alias("part"), "b")
+    sizes = work.save(likely.groupBy("a").agg(F.count("*").alias("n")), f"{name}-sizes")
+    groups = likely.join(sizes, "a").select("a", part.alias("part"), "b")
     need = groups.select("a", "part", F.col("b").alias("doc")).unionByName(groups.select("a", "part", F.col("a").alias("doc"))).distinct()
     wanted = need.join(texts, "doc").groupBy("a", "part").agg(F.collect_list(F.struct("doc", "text")).alias("members"))
     return work.save(wanted.select("a", "members").mapInArrow(_verified(size, percent), "a long, b long"), f"{name}-links", GROUPS)

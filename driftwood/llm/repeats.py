@@ -105,16 +105,17 @@ def _cut_out(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = utf8(batch["text"])
-            anchor, digest, left, content = [], [], [], []
+            anchor, digest, left, alone, content = [], [], [], [], []
             for o, parts in zip(off.tolist(), batch["parts"]):
                 x = parts.values
                 a, z, p = (x.field(k).to_numpy() for k in ("first", "last", "at"))
                 anchor.append(x.field("anchor"))
                 digest.append(x.field("digest"))
                 left.append(p - a)
+                alone.append(x.field("alone"))
                 content += [raw[o + i : o + k + length].tobytes() for i, k in zip(a.tolist(), z.tolist())]
             if content:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(anchor), pa.concat_arrays(digest), pa.array(np.concatenate(left)), pa.array(content, pa.binary())], ["anchor", "digest", "left", "content"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(anchor), pa.concat_arrays(digest), pa.array(np.concatenate(left)), pa.concat_arrays(alone), pa.array(content, pa.binary())], ["anchor", "digest", "left", "alone", "content"])
 
     return run
 
@@ -161,17 +162,20 @@ def common_windows(group: np.ndarray, left: np.ndarray, content: list[bytes], le
 
 
 def _compared(length: int):
-    """Rows sorted by anchor: whole anchors are gathered to bundles of about BUNDLE fragments, and compared."""
+    """Rows sorted by anchor: whole anchors are gathered to bundles of about BUNDLE fragments, and compared.
 
-    def done(anchor, digest, left, content):
+    Only fragments that stand alone need what comes out; those that occur twice repeat as a whole."""
+
+    def done(anchor, digest, left, alone, content):
         which, a, b = common_windows(anchor, left, content, length)
+        which, a, b = (x[alone[which]] for x in (which, a, b))
         return pa.RecordBatch.from_arrays([pa.array(anchor[which]), pa.array(digest[which]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["anchor", "digest", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for batch in batches:
-            new = [batch["anchor"].to_numpy(), batch["digest"].to_numpy(), batch["left"].to_numpy(), batch["content"].to_pylist()]
-            held = [np.concatenate([x, y]) for x, y in zip(held[:3], new[:3])] + [held[3] + new[3]] if held else new
+            new = [batch["anchor"].to_numpy(), batch["digest"].to_numpy(), batch["left"].to_numpy(), batch["alone"].to_numpy(zero_copy_only=False), batch["content"].to_pylist()]
+            held = [np.concatenate([x, y]) for x, y in zip(held[:4], new[:4])] + [held[4] + new[4]] if held else new
             while len(held[0]) > BUNDLE:
                 cut = int(np.searchsorted(held[0], held[0][BUNDLE - 1]))
                 cut = cut or int(np.searchsorted(held[0], held[0][0], "right"))
@@ -186,7 +190,7 @@ def _compared(length: int):
 
 
 def _windows(length: int):
-    """(anchor, digest, a, w1, w2): the 128-bit digest of each window of each fragment, by its start from the anchor."""
+    """(anchor, digest, alone, a, w1, w2): the 128-bit digest of each window of each fragment, by its start from the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +200,7 @@ def _windows(length: int):
                 down = _power(len(raw) + 1)[1][:n]
                 w = [mix((t[length:] - t[:-length]) * down).view(np.int64) for t in (_sums(raw, _BYTE), _sums(raw, _BYTE2))]
                 one = pa.array(np.full(n, i, np.int64))
-                yield pa.RecordBatch.from_arrays([batch["anchor"].take(one), batch["digest"].take(one), pa.array((np.arange(n) - left).astype(np.int32)), *map(pa.array, w)], ["anchor", "digest", "a", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([batch["anchor"].take(one), batch["digest"].take(one), batch["alone"].take(one), pa.array((np.arange(n) - left).astype(np.int32)), *map(pa.array, w)], ["anchor", "digest", "alone", "a", "w1", "w2"])
 
     return run
 
@@ -232,15 +236,15 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, work: Workspace | None
     work.drop("anchors", "often")
     kinds = work.save(met.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("doc_id", "th", "first", "last", "at")).alias("x")), "kinds")
     sizes = kinds.where("mixed").groupBy("anchor").agg((F.count("*") > hot).alias("hot"))
-    one = kinds.where("mixed").groupBy("x.doc_id", "x.th").agg(F.collect_list(F.struct("anchor", "digest", "x.first", "x.last", "x.at")).alias("parts"))
+    one = kinds.where("mixed").groupBy("x.doc_id", "x.th").agg(F.collect_list(F.struct("anchor", "digest", "x.first", "x.last", "x.at", (F.col("n") == 1).alias("alone"))).alias("parts"))
     texts = text.join(one, same(text, one, "doc_id", "th"), "inner").select(text["doc_id"], text["th"], text["text"], one["parts"]).dropDuplicates(["doc_id", "th"])
-    cut = texts.select("text", "parts").mapInArrow(_cut_out(length), "anchor long, digest long, left int, content binary")
+    cut = texts.select("text", "parts").mapInArrow(_cut_out(length), "anchor long, digest long, left int, alone boolean, content binary")
     cut = work.save(cut.join(sizes, "anchor"), "fragments")
     span = "anchor long, digest long, a int, b int"
     compared = cut.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compared(length), span)
-    windows = cut.where("hot").drop("hot").mapInArrow(_windows(length), "anchor long, digest long, a int, w1 long, w2 long")
+    windows = cut.where("hot").drop("hot").mapInArrow(_windows(length), "anchor long, digest long, alone boolean, a int, w1 long, w2 long")
     twice = windows.groupBy("anchor", "a", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    counted = windows.join(twice, ["anchor", "a", "w1", "w2"], "left_semi").select("anchor", "digest", "a", (F.col("a") + length).alias("b"))
+    counted = windows.where("alone").join(twice, ["anchor", "a", "w1", "w2"], "left_semi").select("anchor", "digest", "a", (F.col("a") + length).alias("b"))
     whole = met.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("doc_id", "th", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     parts = met.where("mixed").join(compared.unionByName(counted), ["anchor", "digest"]).select("doc_id", "th", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
     spans = whole.unionByName(parts).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass holds; the temporaries are about 60 times as much.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 #: A longer document is worked on in pieces of so many bytes.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

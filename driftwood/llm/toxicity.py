@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import CHUNK_BYTES, LOWER, chunks, held_out, utf8
+from .common import LOWER, chunks, held_out, utf8
 from .labelled import sample
 
 BUCKETS, DIM, WINDOW, SIZES = 1 << 17, 16, 24, (3, 4, 5)
@@ -144,7 +144,7 @@ def _scored(weight: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = utf8(batch["text"])
-            out = [score(raw[off[i] : off[j]], off[i : j + 1] - off[i], weight, bias) for i, j in chunks(off, CHUNK_BYTES // 2)]
+            out = [score(raw[off[i] : off[j]], off[i : j + 1] - off[i], weight, bias) for i, j in chunks(off)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "score"])
 
     return run

@@ -230,13 +230,15 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, work: Workspace | None
     key = {f.name: f.dataType.simpleString() for f in docs.schema.fields}["doc_id"]
     places = f"doc_id {key}, th long, first int, last int, at int, anchor long, digest long"
     all_ = work.save(text.mapInArrow(_anchored(length), places), "anchors")
-    often = all_.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("n > 1")
-    often = work.save(often, "often")  # so that the join is between plain tables, which Spark can split where an anchor is hot
-    met = work.save(all_.join(often.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"), "shared")
-    work.drop("anchors", "often")
-    kinds = work.save(met.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("doc_id", "th", "first", "last", "at")).alias("x")), "kinds")
-    sizes = kinds.where("mixed").groupBy("anchor").agg((F.count("*") > hot).alias("hot"))
-    one = kinds.where("mixed").groupBy("x.doc_id", "x.th").agg(F.collect_list(F.struct("anchor", "digest", "x.first", "x.last", "x.at", (F.col("n") == 1).alias("alone"))).alias("parts"))
+    # each table is written before it is joined: joins between plain tables can be split where an anchor is hot
+    counts = work.save(all_.groupBy("anchor", "digest").agg(F.count("*").alias("n")), "counts")
+    often = work.save(counts.groupBy("anchor").agg(F.sum("n").alias("all"), (F.count("*") > 1).alias("mixed")).where("all > 1").drop("all"), "often")
+    again = work.save(counts.join(often, "anchor"), "again")
+    met = work.save(all_.join(again, ["anchor", "digest"]), "shared")
+    work.drop("anchors", "counts", "often")
+    kinds = work.save(met.where("mixed").groupBy("anchor", "digest").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "th", "first", "last", "at")).alias("x")), "kinds")
+    sizes = kinds.groupBy("anchor").agg((F.count("*") > hot).alias("hot"))
+    one = kinds.groupBy("x.doc_id", "x.th").agg(F.collect_list(F.struct("anchor", "digest", "x.first", "x.last", "x.at", (F.col("n") == 1).alias("alone"))).alias("parts"))
     texts = text.join(one, same(text, one, "doc_id", "th"), "inner").select(text["doc_id"], text["th"], text["text"], one["parts"]).dropDuplicates(["doc_id", "th"])
     cut = texts.select("text", "parts").mapInArrow(_cut_out(length), "anchor long, digest long, left int, alone boolean, content binary")
     cut = work.save(cut.join(sizes, "anchor"), "fragments")
@@ -245,11 +247,11 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, work: Workspace | None
     windows = cut.where("hot").drop("hot").mapInArrow(_windows(length), "anchor long, digest long, alone boolean, a int, w1 long, w2 long")
     twice = windows.groupBy("anchor", "a", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     counted = windows.where("alone").join(twice, ["anchor", "a", "w1", "w2"], "left_semi").select("anchor", "digest", "a", (F.col("a") + length).alias("b"))
-    whole = met.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("doc_id", "th", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
-    parts = met.where("mixed").join(compared.unionByName(counted), ["anchor", "digest"]).select("doc_id", "th", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
+    whole = met.where("n > 1").select("doc_id", "th", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    parts = met.where("mixed AND n = 1").join(compared.unionByName(counted), ["anchor", "digest"]).select("doc_id", "th", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
     spans = whole.unionByName(parts).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     spans = work.save(spans.mapInArrow(_merged, f"doc_id {key}, th long, spans array<struct<a:int,b:int>>"), "spans")
-    work.drop("shared", "kinds", "fragments")
+    work.drop("shared", "again", "kinds", "fragments")
     left = docs.withColumn("_th", F.xxhash64("text"))
     on = left["doc_id"].eqNullSafe(spans["doc_id"]) & (left["_th"] == spans["th"])
     return left.join(spans, on, "left").select(*(left[c] for c in docs.columns), spans["spans"].alias("_repeated"))

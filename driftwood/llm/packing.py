@@ -28,8 +28,9 @@ _BLANKS = "\t\n\r\x0b\x0c"
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-#: A full stop or comma that ends a word: a token of its own either way, so that the word is kept once.
-_POINT = regex.compile(r"(?<=[^\W_])([.,])(?= |$)")
+#: A full stop or comma that ends a word: a token of its own after a letter or digit, so that the word is kept once.
+#: Only after those of Latin-1: others may get marks by the tokenizer's NFC or lower case, and a mark goes with the point.
+_POINT = regex.compile(r"(?<=[[\p{L}\p{N}]&&[\x00-\xFF]])([.,])(?= |$)", regex.V1)
 
 
 def _folded(text: str) -> str:

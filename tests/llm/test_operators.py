@@ -247,6 +247,18 @@ def test_encoding_word_by_word_is_the_tokenizer(monkeypatch):
         assert ids.tolist() == model.encode(t or "", add_special_tokens=False).ids + [2], repr(t)
 
 
+def test_a_point_after_a_mark_stays_with_it():
+    """Marks, circled letters, and letters that the tokenizer itself turns into a letter and a mark."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, encode = Tokenizer.from_file(path), packing.Encoder(path, 2)
+    odd = ["यह है, और", "यह हिन्दी.", "ตัวที่.", "வணக்கம்.", "Ⓐ.", "q\u0301.", "İ.", "\u0958,", "слово, é. 7,"]
+    for t, ids in zip(odd, encode(odd)):
+        assert ids.tolist() == model.encode(t, add_special_tokens=False).ids + [2], repr(t)
+
+
 def test_sum_of_squares_choice():
     """Each placement makes the sum of squared counts smallest, over all levels."""
     rng = random.Random(4)

@@ -250,9 +250,22 @@ def _keyed(texts: DataFrame, cand: DataFrame, shingle: int) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, *, percent: int = 80) -> DataFrame:
-    """The rows of docs that their group keeps: the smallest doc_id of each component, all columns as they are.
+    """One row of docs of each component, all columns as they are: of the smallest doc_id, null ids last.
 
-    Rows without a doc_id or without words stay. Of rows repeated under the kept doc_id all stay.
+    Each row takes part for itself, whatever its doc_id: rows are told apart by doc_id and text, and of rows equal in both
+    one stays. Rows without words stay.
     """
-    verdict = near_duplicates(docs, percent=percent).where("not kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_anti")
+    work = Workspace(docs.sparkSession, "keep")
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("text").cast("string")))
+    near = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), percent=percent).where("n_shingles > 0")
+    near = near.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
+    ids = keyed.groupBy("_key").agg(F.min("doc_id").alias("id"))
+    met = work.save(near.join(ids, "_key"), "met")
+    best = met.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "_key")).alias("best"), F.sum("n").alias("all")).where("all > 1")
+    verdict = work.save(met.join(best, "component").select("_key", "n", (F.col("_key") == F.col("best._key")).alias("stays")), "verdict")
+    work.drop("met")
+    gone = verdict.where("NOT stays").select("_key")
+    again = verdict.where("stays AND n > 1").select("_key")
+    left = keyed.join(gone.unionByName(again), "_key", "left_anti")
+    once = keyed.join(again, "_key", "left_semi").dropDuplicates(["_key"])
+    return left.unionByName(once).select(*docs.columns)

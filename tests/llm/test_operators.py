@@ -127,6 +127,16 @@ def test_many_near_copies_in_one_bucket(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {r[0]: top(r[0]) for r in rows}
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Repeated and null ids take part; two texts under one id are two documents; rows without words stay."""
+    rng = random.Random(31)
+    a, b, c, d = (prose(rng, 90) for _ in range(4))
+    rows = [(1, a), (1, a), (None, a), (2, b), (2, a + " more"), (3, c), (None, d), (None, d), (4, ""), (4, ""), (None, None), (None, "  ")]
+    got = neardup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, a), (2, b), (3, c), (None, d), (4, ""), (4, ""), (None, None), (None, "  ")]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))

@@ -22,6 +22,17 @@ def test_stages(spark, sf_dir, tmp_path):
     assert docs.select("doc_id").distinct().count() == n_docs
 
 
+def test_a_document_delivered_again_stays_once(spark, sf_dir):
+    """Twice under one id and once under null, then the repeat stage."""
+    rng = np.random.default_rng(5)
+    text = " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(72))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "another short text")], "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("minhash_near_dedup", "suffix_array_dedup"):
+        docs = stages[name](spark, docs, sf_dir)
+    assert len(text) > 500 and sorted(map(tuple, docs.collect())) == [(1, text), (2, "another short text")]
+
+
 def test_run_is_the_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).select("sequence_id").distinct().count() > 1
     assert 4 <= len(corpus_pipeline.STAGES) <= 5

@@ -26,8 +26,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that repeat across or within documents are cut out of the texts."""
-    return remove_repeats(docs)
+    """Strings of 51 words (and 200 bytes) or of 400 bytes that repeat across or within documents are cut out of the texts."""
+    return remove_repeats(docs, length=200, words=51)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

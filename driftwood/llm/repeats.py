@@ -295,15 +295,35 @@ def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*rest, pa.array(text, pa.string())], [*names, "text"])
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400) -> DataFrame:
+def _sized(words: int, sure: int):
+    """Keeps the spans of at least `sure` bytes or `words` words, those cut at an end included; null where none is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for t, spans in zip(batch["text"].to_pylist(), batch["_repeated"].to_pylist()):
+                raw = t.encode()
+                kept.append([s for s in spans if s["b"] - s["a"] >= sure or len(raw[s["a"] : s["b"]].split()) >= words] or None)
+            i = batch.schema.get_field_index("_repeated")
+            yield batch.set_column(i, batch.schema.field(i), pa.array(kept, batch.schema.field(i).type))
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, *, length: int = 400, words: int | None = None, sure: int = 400) -> DataFrame:
     """docs without repeated strings: a character goes if all its bytes are covered; documents of which nothing is left go too.
 
-    n_chars follows the text, if docs has it; rows without repeats stay as they are, null and empty texts too.
+    n_chars follows the text, if docs has it; rows without repeats stay as they are, null and empty texts too. With
+    `words`, runs covered by repeats go only if they have that many words or `sure` bytes.
     """
     spanned = repeated_spans(docs, length=length)
-    clean = spanned.where("_repeated is null").select(docs.columns)
+    clean, found = spanned.where("_repeated is null").select(docs.columns), spanned.where("_repeated is not null")
+    if words:
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spanned.schema.fields)
+        found = Workspace(docs.sparkSession, "sized").save(found.mapInArrow(_sized(words, sure), fields), "sized")
+        clean, found = clean.unionByName(found.where("_repeated is null").select(docs.columns)), found.where("_repeated is not null")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    cut = spanned.where("_repeated is not null").mapInArrow(_whole_characters, f"{fields}, text string").where("text <> ''")
+    cut = found.mapInArrow(_whole_characters, f"{fields}, text string").where("text <> ''")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return clean.unionByName(cut.select(docs.columns))

@@ -194,6 +194,17 @@ def test_repeats_leave_whole_characters(docs):
     assert sorted(repr((r.doc_id, r.text, r.a)) for r in repeats.remove_repeats(docs, length=61).collect()) == sorted(want)
 
 
+def test_repeats_by_words(spark):
+    """51 words in under 400 bytes go with `words`; 50 words, or few long ones, stay."""
+    rng = random.Random(32)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    short, fewer, long_ = " ".join(word(5) for _ in range(51)), " ".join(word(5) for _ in range(48)), " ".join(word(12) for _ in range(25))
+    rows = [(2 * k + i, f"{word(40)} {p} {word(40)}") for k, p in enumerate((short, fewer, long_)) for i in range(2)]
+    got = {r.doc_id: r.text for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=200, words=51).collect()}
+    assert [got[i] == t for i, t in rows] == [False, False, True, True, True, True]
+    assert all(short not in got[i] and len(got[i]) < 90 for i in (0, 1))
+
+
 def contamination(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(ASCII))
     w, hit, found = words(text), set(), set()

@@ -33,6 +33,15 @@ def test_a_document_delivered_again_stays_once(spark, sf_dir):
     assert len(text) > 500 and sorted(map(tuple, docs.collect())) == [(1, text), (2, "another short text")]
 
 
+def test_a_passage_of_51_words_goes(spark, sf_dir):
+    rng = np.random.default_rng(6)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    passage = words(51)
+    docs = spark.createDataFrame([(i, f"{words(60)} {passage} {words(60)}") for i in range(2)], "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES)["suffix_array_dedup"](spark, docs, sf_dir).collect()
+    assert len(got) == 2 and len(passage) < 400 and all(passage not in r.text for r in got)
+
+
 def test_run_is_the_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).select("sequence_id").distinct().count() > 1
     assert 4 <= len(corpus_pipeline.STAGES) <= 5

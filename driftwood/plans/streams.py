@@ -17,10 +17,19 @@ def _folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()
+
+
 def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream, with ts as a time that watermarks take."""
     schema = read(spark, sf_dir, "events").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    path = f"{sf_dir}/events.parquet"
+    if _is_folder(spark, path):  # all files in one batch: part files are in no order of time
+        files = spark.readStream.schema(schema).parquet(path)
+    else:  # a stream opens folders only
+        files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return files.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

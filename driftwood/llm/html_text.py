@@ -30,17 +30,51 @@ _NOISE = set("ad ads adv advert adverts advertisement advertising banner sponsor
 _WHOLE = {"html", "body", "article", "main"}
 
 
-def _noisy(attributes: str) -> bool:
+#: Names that say what an element has or lacks, not what it is.
+_ABOUT = re.compile(r"(?:has|no|with|without)[-_]|.*[-_]free$")
+_TALK = {"comment", "comments", "disqus", "respond", "reply", "replies"}
+
+
+def _noisy(attributes: str) -> int:
+    """2 if a name is noise as a whole or of readers' comments, 1 if only a part of a name is, else 0."""
+    most = 0
     for names in _NAMES.findall(attributes):
         for name in names.strip("\"'").lower().split():
-            if name in _NOISE or any(part in _NOISE for part in re.split(r"[-_]+", name)):
-                return True
-    return False
+            parts = set(re.split(r"[-_]+", name))
+            if name in _NOISE or parts & _TALK:
+                return 2
+            if parts & _NOISE and not _ABOUT.match(name):
+                most = 1
+    return most
+
+
+def _left_out(tags: list[str], parent: list[int], hard: list[bool], noise: list[int], runs: list[tuple[int, str | None]]) -> list[bool]:
+    """What tags or names leave out. Where no article is outside of what names leave out, an element stays that holds
+    an article, or by part of a name only and with most of the text outside links and plain noise."""
+    n = len(tags)
+    named, inside, aside, plain, holds = [False] * n, [False] * n, [False] * n, [0] * n, [False] * n
+    whole = [tags[i] in ("article", "main") and not hard[i] and not noise[i] for i in range(n)]
+    for i in range(1, n):
+        named[i] = noise[i] > 0 and tags[i] not in _WHOLE
+        inside[i] = inside[parent[i]] or named[i]
+        aside[i] = aside[parent[i]] or tags[i] == "a" or (named[i] and noise[i] == 2)
+    if any(named) and not any(whole[i] and not inside[i] for i in range(n)):
+        for i, t in runs:
+            if t and not aside[i]:
+                plain[i] += len(t.strip())
+        for i in range(n - 1, 0, -1):
+            plain[parent[i]] += plain[i]
+            holds[parent[i]] = holds[parent[i]] or holds[i] or whole[i]
+        named = [named[i] and not (holds[i] or (noise[i] == 1 and 2 * plain[i] > plain[0])) for i in range(n)]
+    out = list(hard)
+    for i in range(1, n):
+        out[i] = out[i] or out[parent[i]] or named[i]
+    return out
 
 
 def _tree(html: str) -> tuple[list[str], list[int], list[int], list[bool], list[tuple[int, str | None]]]:
     """Of all elements in order: tag, parent, last descendant, whether left out; and the runs of text, None between blocks."""
-    tags, parent, last, out = ["#root"], [0], [0], [False]
+    tags, parent, last, out, noise = ["#root"], [0], [0], [False], [0]
     stack, runs, at = [0], [], 0
 
     def close(to: int) -> None:
@@ -96,12 +130,13 @@ def _tree(html: str) -> tuple[list[str], list[int], list[int], list[bool], list[
         tags.append(tag)
         parent.append(up)
         last.append(i)
-        out.append(out[up] or (tag in _DROP and not inside) or (tag not in _WHOLE and bool(attributes) and _noisy(attributes)))
+        out.append(out[up] or (tag in _DROP and not inside))
+        noise.append(_noisy(attributes) if attributes else 0)
         if tag in _BLOCK:
             runs.append((up, None))
         stack.append(i)
     close(0)
-    return tags, parent, last, out, runs
+    return tags, parent, last, _left_out(tags, parent, out, noise, runs), runs
 
 
 def main_text(html: str | None) -> str:
@@ -144,7 +179,12 @@ def main_text(html: str | None) -> str:
         if tags[k] in ("article", "main") and not around:
             around = k
     chosen = [(around or best, last[around or best])]
-    if not around:
+    if around:  # other articles that are dense enough; one inside an article belongs to it or is a comment
+        outer = [False] * n
+        for i in range(1, n):
+            outer[i] = outer[parent[i]] or tags[parent[i]] == "article"
+        chosen += [(i, last[i]) for i in range(1, n) if tags[i] == "article" and not outer[i] and not out[i] and not i <= around <= last[i] and density[i] >= threshold > 0]
+    else:
         k = best
         while k not in (0, body):  # beside the way from the best element to the body
             up = parent[k]

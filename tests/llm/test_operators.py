@@ -338,6 +338,20 @@ def test_main_text_without_an_article():
     assert html_text.main_text(page).split("\n\n") == [" ".join(("long sentence number %d, with many words. " % i * 5).split()) for i in range(4)]
 
 
+@pytest.mark.parametrize("names", ["content has-sidebar", "no-sidebar", "ad-free", "search-results", "social-science"])
+def test_names_do_not_drop_the_article(names):
+    text = "A long sentence of the article, with many words in it. " * 5
+    for tag in ("article", "div"):
+        page = f"<body><div class='{names}'><{tag}><p>{text}</p><p>{text}</p></{tag}></div><div class='ad'>Buy</div><div class='comments'><p>{text * 9}</p></div></body>"
+        assert html_text.main_text(page) == "\n\n".join([text.strip()] * 2)
+
+
+def test_all_articles_of_a_page():
+    texts = [f"Sentence {i} of this part, with a good number of words. " * 6 for i in range(6)]
+    page = "<body><main>" + "".join(f"<article><p>{texts[i]}</p><p>{texts[i + 1]}</p></article>" for i in (0, 2, 4)) + "</main></body>"
+    assert html_text.main_text(page).split("\n\n") == [t.strip() for t in texts]
+
+
 def test_extract_text_over_rows(spark):
     rows = [(1, "u", "<p>a</p>", "x"), (1, "u", "<p>a</p>", "x"), (None, None, None, None), (2, "v", "", "x")]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

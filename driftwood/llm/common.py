@@ -5,6 +5,7 @@ The kernels run on whole Arrow batches with numpy, inside Spark tasks; nothing h
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -15,9 +16,13 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass holds; the temporaries are about 60 times as much.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 17
 #: A longer document is worked on in pieces of so many bytes.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
+#: Bytes of an Arrow batch, beside one row at least, in tables that a Workspace saves.
+BATCH_BYTES = 4 << 20
+#: Files of such a table for each core of the cluster at most. A task takes what it gets partition by partition.
+FILES_PER_CORE = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,20 +36,22 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, what: str):
-        root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"  # the latter where nothing is set, as in tests
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = root or "/tmp/checkpoints"  # one machine, nothing set
         self.spark, self.root = spark, f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-        """df, written and read back; batch_rows bounds the rows of an Arrow batch, where a row is a whole group."""
-        path, key = f"{self.root}/{name}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written and read back. Arrow batches are bounded by bytes meanwhile, also where a row is a whole group,
+        and the number of files by the cluster's cores, whatever the number of shuffle partitions."""
+        path, key = f"{self.root}/{name}", "spark.sql.execution.arrow.maxBytesPerBatch"
         was = self.spark.conf.get(key)
-        if batch_rows:
-            self.spark.conf.set(key, batch_rows)
+        self.spark.conf.set(key, BATCH_BYTES)
         try:
-            df.write.parquet(path)
+            df.coalesce(FILES_PER_CORE * self.spark.sparkContext.defaultParallelism).write.parquet(path)
         finally:
-            if batch_rows:
-                self.spark.conf.set(key, was)
+            self.spark.conf.set(key, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

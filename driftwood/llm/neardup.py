@@ -27,8 +27,6 @@ from .common import U64, Workspace, chunks, mix, random64, same, shingle_sets, u
 from .components import connected_components
 
 BANDS, ROWS, BLOCK, ROUNDS = 40, 5, 256, 1
-#: Groups of documents that an Arrow batch holds at most.
-GROUPS = 200
 #: A pair at 0.85 agrees on fewer than 0.65 of 200 coordinates with a probability under 3e-11 (Chernoff).
 SKETCH_SLACK = 0.2
 _BAND = random64(21, ROWS) | U64(1)
@@ -165,7 +163,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, work: Workspace
     groups = likely.join(sizes, "a").select("a", part.alias("part"), "b")
     need = groups.select("a", "part", F.col("b").alias("doc")).unionByName(groups.select("a", "part", F.col("a").alias("doc"))).distinct()
     wanted = need.join(texts, "doc").groupBy("a", "part").agg(F.collect_list(F.struct("doc", "text")).alias("members"))
-    return work.save(wanted.select("a", "members").mapInArrow(_verified(size, percent), "a long, b long"), f"{name}-links", GROUPS)
+    return work.save(wanted.select("a", "members").mapInArrow(_verified(size, percent), "a long, b long"), f"{name}-links")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, work: Workspace | None = None) -> DataFrame:
@@ -220,10 +218,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     dealt = dealt.select(block.alias("block"), F.col("block").alias("side"), "doc", "label")
     lists = dealt.join(reps.select("doc", "n_shingles", "low", "bands"), "doc").groupBy("block").agg(F.collect_list(F.struct("side", "doc", "label", "n_shingles", "low", "bands")).alias("members"))
     near = lists.where("size(members) > 1").mapInArrow(_near_blocks(percent / 100 - SKETCH_SLACK, percent), "block struct<bucket:long,i:long,j:long>, pairs array<struct<a:long,b:long>>")
-    near = work.save(near, "near", GROUPS)
+    near = work.save(near, "near")
     need = near.select("block", F.explode(F.array_distinct(F.concat("pairs.a", "pairs.b"))).alias("doc"))
     members = need.join(found, "doc").groupBy("block").agg(F.collect_list(F.struct("doc", "text")).alias("members"))
-    more = work.save(near.join(members, "block").select("pairs", "members").mapInArrow(_checked(shingle, percent), "a long, b long"), "more", GROUPS)
+    more = work.save(near.join(members, "block").select("pairs", "members").mapInArrow(_checked(shingle, percent), "a long, b long"), "more")
     labels = connected_components(links.unionByName(more), work, "all")
     named = classes.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     least = work.save(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")

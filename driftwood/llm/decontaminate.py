@@ -101,6 +101,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> Da
     """
     work = Workspace(docs.sparkSession, "decontaminate")
     found = work.save(_matches(docs, benchmark, window, work).select("doc_id", "th").distinct(), "matches")
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    bad = found.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
-    return keyed.join(bad, F.expr("doc_id <=> _d AND _th = _t"), "left_anti").select(docs.columns)
+    on = docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["th"])
+    return docs.join(found, on, "left_anti")

@@ -253,17 +253,19 @@ def keep_one_of_each(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     Each row takes part for itself, whatever its doc_id: rows are told apart by doc_id and text, and of rows equal in both
     one stays. Rows without words stay.
     """
-    work = Workspace(docs.sparkSession, "keep")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("text").cast("string")))
-    near = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), percent=percent).where("n_shingles > 0")
-    near = near.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
-    ids = keyed.groupBy("_key").agg(F.min("doc_id").alias("id"))
-    met = work.save(near.join(ids, "_key"), "met")
-    best = met.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "_key")).alias("best"), F.sum("n").alias("all")).where("all > 1")
-    verdict = work.save(met.join(best, "component").select("_key", "n", (F.col("_key") == F.col("best._key")).alias("stays")), "verdict")
+    work, own = Workspace(docs.sparkSession, "keep"), "_key"
+    while own in (c.lower() for c in docs.columns):
+        own += "_"
+    keyed = docs.withColumn(own, F.xxhash64(F.col("doc_id"), F.col("text").cast("string")))
+    near = near_duplicates(keyed.select(F.col(own).alias("doc_id"), "text"), percent=percent).where("n_shingles > 0")
+    near = near.groupBy(F.col("doc_id").alias(own)).agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
+    ids = keyed.groupBy(own).agg(F.min("doc_id").alias("id"))
+    met = work.save(near.join(ids, own), "met")
+    best = met.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", own)).alias("best"), F.sum("n").alias("all")).where("all > 1")
+    verdict = work.save(met.join(best, "component").select(own, "n", (F.col(own) == F.col(f"best.{own}")).alias("stays")), "verdict")
     work.drop("met")
-    gone = verdict.where("NOT stays").select("_key")
-    again = verdict.where("stays AND n > 1").select("_key")
-    left = keyed.join(gone.unionByName(again), "_key", "left_anti")
-    once = keyed.join(again, "_key", "left_semi").dropDuplicates(["_key"])
+    gone = verdict.where("NOT stays").select(own)
+    again = verdict.where("stays AND n > 1").select(own)
+    left = keyed.join(gone.unionByName(again).hint("merge"), own, "left_anti")  # never broadcast, since it grows with the input
+    once = keyed.join(again, own, "left_semi").dropDuplicates([own])
     return left.unionByName(once).select(*docs.columns)

@@ -16,6 +16,7 @@ An anchor with more than HOT distinct fragments (one task's share) has its windo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -105,17 +106,18 @@ def _cut_out(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = utf8(batch["text"])
-            anchor, digest, left, alone, content = [], [], [], [], []
-            for o, parts in zip(off.tolist(), batch["parts"]):
+            kept: dict[str, list] = {k: [] for k in ("anchor", "digest", "left", "alone", "hot", "twice")}
+            content = []
+            for o, parts, twice in zip(off.tolist(), batch["parts"], batch["twice"].to_pylist()):
                 x = parts.values
                 a, z, p = (x.field(k).to_numpy() for k in ("first", "last", "at"))
-                anchor.append(x.field("anchor"))
-                digest.append(x.field("digest"))
-                left.append(p - a)
-                alone.append(x.field("alone"))
+                for k in ("anchor", "digest", "alone", "hot"):
+                    kept[k].append(x.field(k))
+                kept["left"].append(pa.array(p - a))
+                kept["twice"].append(pa.repeat(twice, len(a)))
                 content += [raw[o + i : o + k + length].tobytes() for i, k in zip(a.tolist(), z.tolist())]
             if content:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(anchor), pa.concat_arrays(digest), pa.array(np.concatenate(left)), pa.concat_arrays(alone), pa.array(content, pa.binary())], ["anchor", "digest", "left", "alone", "content"])
+                yield pa.RecordBatch.from_arrays([*map(pa.concat_arrays, kept.values()), pa.array(content, pa.binary())], [*kept, "content"])
 
     return run
 
@@ -218,112 +220,128 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["doc_id", "th", "spans"])
 
 
-def repeated_spans(docs: DataFrame, *, length: int = 400, work: Workspace | None = None, hot: int = HOT) -> DataFrame:
-    """docs with a column _repeated: the maximal runs [a, b) of UTF-8 bytes covered by a repeated string of `length` bytes.
-
-    A string repeats if it starts at another place too, in the same document or another; matches never cross
-    documents. Null and short texts have none (null). Rows repeated under one doc_id count as documents of
-    their own, so their texts repeat; a null doc_id is an id like any other. Other columns pass through.
-    """
-    work = work or Workspace(docs.sparkSession, "repeats")
-    text = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("th"))
-    key = {f.name: f.dataType.simpleString() for f in docs.schema.fields}["doc_id"]
+def _span_table(text: DataFrame, length: int, hot: int, work: Workspace) -> DataFrame:
+    """(doc_id, th, spans) of the rows (doc_id, text, th) that hold a repeated string. What grows with the input is never broadcast."""
+    key = text.schema["doc_id"].dataType.simpleString()
     places = f"doc_id {key}, th long, first int, last int, at int, anchor long, digest long"
     all_ = work.save(text.mapInArrow(_anchored(length), places), "anchors")
     # each table is written before it is joined: joins between plain tables can be split where an anchor is hot
-    counts = work.save(all_.groupBy("anchor", "digest").agg(F.count("*").alias("n")), "counts")
-    often = work.save(counts.groupBy("anchor").agg(F.sum("n").alias("all"), (F.count("*") > 1).alias("mixed")).where("all > 1").drop("all"), "often")
-    again = work.save(counts.join(often, "anchor"), "again")
-    met = work.save(all_.join(again, ["anchor", "digest"]), "shared")
-    work.drop("anchors", "counts", "often")
-    kinds = work.save(met.where("mixed").groupBy("anchor", "digest").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "th", "first", "last", "at")).alias("x")), "kinds")
-    sizes = kinds.groupBy("anchor").agg((F.count("*") > hot).alias("hot"))
-    one = kinds.groupBy("x.doc_id", "x.th").agg(F.collect_list(F.struct("anchor", "digest", "x.first", "x.last", "x.at", (F.col("n") == 1).alias("alone"))).alias("parts"))
-    texts = text.join(one, same(text, one, "doc_id", "th"), "inner").select(text["doc_id"], text["th"], text["text"], one["parts"]).dropDuplicates(["doc_id", "th"])
-    cut = texts.select("text", "parts").mapInArrow(_cut_out(length), "anchor long, digest long, left int, alone boolean, content binary")
-    cut = work.save(cut.join(sizes, "anchor"), "fragments")
+    often = all_.groupBy("anchor").agg(F.count("*").alias("all"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    often = work.save(often.where("all > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "often")
+    shared = work.save(all_.join(often.hint("merge"), "anchor"), "shared")
+    work.drop("anchors", "often")
+    place = F.struct("doc_id", "th", "first", "last", "at")
+    kinds = work.save(shared.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.min(place).alias("x")), "kinds")
+    mixed = kinds.where("mixed")
+    crowded = work.save(mixed.groupBy("anchor").agg(F.count("*").alias("size")).where(F.col("size") > hot).select("anchor", F.lit(True).alias("hot")), "crowded")
+    part = F.struct("anchor", "digest", "x.first", "x.last", "x.at", (F.col("n") == 1).alias("alone"), F.coalesce("hot", F.lit(False)).alias("hot"))
+    one = mixed.join(crowded, "anchor", "left").groupBy("x.doc_id", "x.th").agg(F.collect_list(part).alias("parts"))  # a document's own fragments
+    again = text.where(F.octet_length("text") >= length).groupBy("doc_id", "th").agg(F.count("*").alias("rows")).where("rows > 1")
+    one = one.join(again, same(one, again, "doc_id", "th"), "left").select(one["doc_id"], one["th"], one["parts"], F.col("rows").isNotNull().alias("twice"))
+    one = work.save(one, "parts")
+    texts = text.join(one.hint("merge"), same(text, one, "doc_id", "th")).select(text["text"], "parts", "twice")
+    cut = work.save(texts.mapInArrow(_cut_out(length), "anchor long, digest long, left int, alone boolean, hot boolean, twice boolean, content binary"), "fragments")
+    cut = cut.where("NOT twice").unionByName(cut.where("twice").dropDuplicates(["anchor", "digest"]))
     span = "anchor long, digest long, a int, b int"
-    compared = cut.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compared(length), span)
-    windows = cut.where("hot").drop("hot").mapInArrow(_windows(length), "anchor long, digest long, alone boolean, a int, w1 long, w2 long")
-    twice = windows.groupBy("anchor", "a", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    counted = windows.where("alone").join(twice, ["anchor", "a", "w1", "w2"], "left_semi").select("anchor", "digest", "a", (F.col("a") + length).alias("b"))
-    whole = met.where("n > 1").select("doc_id", "th", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
-    parts = met.where("mixed AND n = 1").join(compared.unionByName(counted), ["anchor", "digest"]).select("doc_id", "th", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
-    spans = whole.unionByName(parts).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    compared = cut.where("NOT hot").select("anchor", "digest", "left", "alone", "content").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compared(length), span)
+    windows = cut.where("hot").mapInArrow(_windows(length), "anchor long, digest long, alone boolean, a int, w1 long, w2 long")
+    often = windows.groupBy("anchor", "a", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    counted = windows.where("alone").join(often, ["anchor", "a", "w1", "w2"], "left_semi").select("anchor", "digest", "a", (F.col("a") + length).alias("b"))
+    whole = shared.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("doc_id", "th", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    parts = mixed.where("n = 1").select("anchor", "digest", "x.*").join(compared.unionByName(counted), ["anchor", "digest"]).select("doc_id", "th", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
+    spans = whole.unionByName(parts).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one text, however often it is there
     spans = work.save(spans.mapInArrow(_merged, f"doc_id {key}, th long, spans array<struct<a:int,b:int>>"), "spans")
-    work.drop("shared", "again", "kinds", "fragments")
-    left = docs.withColumn("_th", F.xxhash64("text"))
-    on = left["doc_id"].eqNullSafe(spans["doc_id"]) & (left["_th"] == spans["th"])
-    return left.join(spans, on, "left").select(*(left[c] for c in docs.columns), spans["spans"].alias("_repeated"))
-
-
-def _gaps(n: str) -> str:
-    """SQL for the runs [a, b) of [0, n) outside _repeated."""
-    return f"transform(sequence(0, size(_repeated)), i -> struct(if(i = 0, 0, element_at(_repeated, i).b) AS a, if(i = size(_repeated), {n}, element_at(_repeated, i + 1).a) AS b))"
+    work.drop("shared", "kinds", "crowded", "parts", "fragments")
+    return spans
 
 
-def without_repeats(spanned: DataFrame) -> DataFrame:
-    """spanned with _kept: the bytes outside _repeated, in order (null text: empty)."""
-    raw = spanned.withColumn("_raw", F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    cut = f"aggregate({_gaps('octet_length(_raw)')}, x'', (out, g) -> concat(out, substring(_raw, g.a + 1, g.b - g.a)))"
-    return raw.withColumn("_kept", F.when(F.col("_repeated").isNull(), F.col("_raw")).otherwise(F.expr(cut))).drop("_raw")
+def repeated_spans(docs: DataFrame, *, length: int = 400, work: Workspace | None = None, hot: int = HOT, into: str = "_repeated") -> DataFrame:
+    """docs with a column `into`: the maximal runs [a, b) of UTF-8 bytes covered by a repeated string of `length` bytes.
 
-
-def removal_digest(docs: DataFrame, *, length: int = 400) -> DataFrame:
-    out = without_repeats(repeated_spans(docs, length=length))
-    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    removed = F.expr("if(_repeated is null, 0L, aggregate(_repeated, 0L, (n, s) -> n + (s.b - s.a)))")
-    return out.select("doc_id", n.alias("n_bytes"), removed.alias("n_removed"), F.expr("if(_repeated is null, 0L, cast(size(_repeated) AS long))").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+    A string repeats if it starts at another place too, in the same document or another; matches never cross
+    documents. Null, empty and short texts have none (null). Rows repeated under one doc_id count as documents of
+    their own, so their texts repeat; a null doc_id is an id like any other. Other columns pass through; if one of them
+    has the name `into`, it is an error.
+    """
+    if into.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {into}")
+    work = work or Workspace(docs.sparkSession, "repeats")
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    spans = _span_table(text, length, hot, work).select(F.col("doc_id").alias("key"), "th", "spans").hint("merge")
+    return docs.join(spans, docs["doc_id"].eqNullSafe(spans["key"]) & (F.xxhash64(docs["text"].cast("string")) == spans["th"]), "left").select(*(docs[c] for c in docs.columns), spans["spans"].alias(into))
 
 
-def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = []
-        for t, spans in zip(batch["text"].to_pylist(), batch["_repeated"].to_pylist()):
-            raw, at, kept = t.encode(), 0, []
-            for s in spans:
-                a, b = s["a"], s["b"]
-                while a < b and raw[a] & 0xC0 == 0x80:
-                    a += 1
-                while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
-                    b -= 1
-                kept.append(raw[at:a])
-                at = b
-            text.append(b"".join([*kept, raw[at:]]).decode())
-        rest = [batch[c] for c in batch.schema.names if c not in ("text", "_repeated")]
-        names = [c for c in batch.schema.names if c not in ("text", "_repeated")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(text, pa.string())], [*names, "text"])
-
-
-def _sized(words: int, sure: int):
-    """Keeps the spans of at least `sure` bytes or `words` words, those cut at an end included; null where none is left."""
-
+        raw, off = utf8(batch["text"])
+        removed, runs, digests = [], [], []
+        for a, b, spans in zip(off[:-1].tolist(), off[1:].tolist(), batch["_repeated"].to_pylist()):
+            left, at = sha256(), a
+            for s in spans or ():
+                left.update(raw[at : a + s["a"]])
+                at = a + s["b"]
+            left.update(raw[at:b])
+            removed.append(sum(s["b"] - s["a"] for s in spans or ()))
+            runs.append(len(spans or ()))
+            digests.append(left.hexdigest())
+        columns = [pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def removal_digest(docs: DataFrame, *, length: int = 400, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs (doc_id, text): what removing the bytes covered
+    by repeated strings leaves, as a digest. A null text is an empty one. Repeated rows are each returned, a null doc_id
+    stays null, other columns are ignored."""
+    spanned = repeated_spans(docs.select("doc_id", F.col("text").cast("string").alias("text")), length=length, hot=hot)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return spanned.mapInArrow(_digested, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def _left_over(text: str, spans: list[dict], words: int, sure: int) -> str:
+    """text without the runs of `sure` bytes or `words` words (those cut at an end count); whole characters only."""
+    raw, at, kept = text.encode(), 0, []
+    for s in spans:
+        a, b = s["a"], s["b"]
+        if b - a < sure and len(raw[a:b].split()) < words:
+            continue
+        while a < b and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        kept.append(raw[at:a])
+        at = b
+    return b"".join([*kept, raw[at:]]).decode() if at else text
+
+
+def _without(into: str, words: int, sure: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for t, spans in zip(batch["text"].to_pylist(), batch["_repeated"].to_pylist()):
-                raw = t.encode()
-                kept.append([s for s in spans if s["b"] - s["a"] >= sure or len(raw[s["a"] : s["b"]].split()) >= words] or None)
-            i = batch.schema.get_field_index("_repeated")
-            yield batch.set_column(i, batch.schema.field(i), pa.array(kept, batch.schema.field(i).type))
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                spans = part[into].to_pylist()
+                part = part.drop_columns([into])
+                if any(spans):
+                    was = part["text"].to_pylist()
+                    text = [_left_over(t, s, words, sure) if s else t for t, s in zip(was, spans)]
+                    part = part.set_column(part.schema.get_field_index("text"), "text", pa.array(text, part["text"].type))
+                    if "n_chars" in part.schema.names:
+                        n = [len(t) if t != w else c for t, w, c in zip(text, was, part["n_chars"].to_pylist())]
+                        part = part.set_column(part.schema.get_field_index("n_chars"), "n_chars", pa.array(n, part["n_chars"].type))
+                    part = part.filter(pa.array([t != "" or w == "" for t, w in zip(text, was)]))
+                yield part
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, words: int | None = None, sure: int = 400) -> DataFrame:
-    """docs without repeated strings: a character goes if all its bytes are covered; documents of which nothing is left go too.
+def remove_repeats(docs: DataFrame, *, length: int = 400, words: int = 0, sure: int = 400) -> DataFrame:
+    """docs (doc_id, text, a string) without repeated strings: a character goes if all its bytes are covered; documents of
+    which nothing is left go too.
 
-    n_chars follows the text, if docs has it; rows without repeats stay as they are, null and empty texts too. With
-    `words`, runs covered by repeats go only if they have that many words or `sure` bytes.
+    n_chars, a number, follows the text, if docs has it; rows without repeats stay as they are, null and empty texts too. With
+    `words`, runs covered by repeats go only if they have that many words or `sure` bytes. Other columns pass through,
+    whatever their names.
     """
-    spanned = repeated_spans(docs, length=length)
-    clean, found = spanned.where("_repeated is null").select(docs.columns), spanned.where("_repeated is not null")
-    if words:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spanned.schema.fields)
-        found = Workspace(docs.sparkSession, "sized").save(found.mapInArrow(_sized(words, sure), fields), "sized")
-        clean, found = clean.unionByName(found.where("_repeated is null").select(docs.columns)), found.where("_repeated is not null")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    cut = found.mapInArrow(_whole_characters, f"{fields}, text string").where("text <> ''")
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(cut.select(docs.columns))
+    into = "_repeated"
+    while into in (c.lower() for c in docs.columns):
+        into += "_"
+    return repeated_spans(docs, length=length, into=into).mapInArrow(_without(into, words, sure), docs.schema)

@@ -168,8 +168,7 @@ def spans(texts, length):
 @pytest.mark.parametrize("length,hot", [(60, 8192), (60, 2), (400, 8192)])
 def test_repeats(docs, length, hot):
     rows = docs.collect()
-    out = repeats.without_repeats(repeats.repeated_spans(docs, length=length, hot=hot))
-    got = out.selectExpr("octet_length(coalesce(text, '')) n", "if(_repeated is null, 0, aggregate(_repeated, 0, (n, s) -> n + (s.b - s.a))) r", "if(_repeated is null, 0, size(_repeated)) k", "sha2(_kept, 256) h").collect()
+    got = repeats.removal_digest(docs, length=length, hot=hot).select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got)) == sorted(spans([r.text for r in rows], length))
 
 

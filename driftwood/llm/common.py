@@ -22,7 +22,7 @@ PIECE_BYTES = 1 << 19
 #: Bytes of an Arrow batch, beside one row at least, in tables that a Workspace saves.
 BATCH_BYTES = 4 << 20
 #: Files of such a table for each core of the cluster at most. A task takes what it gets partition by partition.
-FILES_PER_CORE = 4
+FILES_PER_CORE = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

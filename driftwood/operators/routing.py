@@ -27,20 +27,20 @@ def regex_column(pattern: str, df: DataFrame) -> DataFrame:
 
 
 def route(messages: DataFrame, exchanges: DataFrame, bindings: DataFrame) -> DataFrame:
-    """(message columns, queue): one row for each queue that a message reaches, however many bindings lead there.
+    """(message columns, queue): one row for each queue that a message reaches, however many bindings lead there; a
+    message that is there twice reaches it twice.
 
-    messages has exchange and routing_key and message_id; exchanges has name and type; bindings has exchange, queue, binding_key. The
+    messages has exchange and routing_key; exchanges has name and type; bindings has exchange, queue, binding_key. The
     two tables are joined first; direct and fanout bindings meet messages by equality, so that only topic bindings are
     compared by pattern, within their exchange.
     """
-    kinds = bindings.join(exchanges.select(F.col("name").alias("exchange"), "type"), "exchange")
+    kinds = bindings.join(exchanges.select(F.col("name").alias("exchange"), "type"), "exchange").select("exchange", "type", "binding_key", "queue").distinct()
     direct = messages.join(kinds.where("type = 'direct'").select("exchange", F.col("binding_key").alias("routing_key"), "queue"), ["exchange", "routing_key"])
-    fanout = messages.join(kinds.where("type = 'fanout'").select("exchange", "queue"), "exchange")
-    topics = regex_column("binding_key", kinds.where("type = 'topic'")).select("exchange", "queue", "pattern_regex")
+    fanout = messages.join(kinds.where("type = 'fanout'").select("exchange", "queue").distinct(), "exchange")
+    topics = regex_column("binding_key", kinds.where("type = 'topic'")).groupBy("exchange", "queue").agg(F.array_join(F.array_sort(F.collect_set("pattern_regex")), "|").alias("pattern_regex"))
     topic = messages.join(topics, "exchange").where("concat('.', routing_key) RLIKE pattern_regex").drop("pattern_regex")
     columns = [*messages.columns, "queue"]
-    parts = [x.select(columns).dropDuplicates(["message_id", "queue"]) for x in (direct, fanout, topic)]  # an exchange has one type
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return direct.select(columns).unionByName(fanout.select(columns)).unionByName(topic.select(columns))  # an exchange has one type
 
 
 def closure(edges: DataFrame, most: int = 10_000) -> list[tuple[str, str]]:
@@ -73,11 +73,12 @@ def through_exchanges(messages: DataFrame, edges: DataFrame) -> DataFrame:
 def publish(messages: DataFrame, exchange_map: DataFrame, key_map: DataFrame, default_exchange: str = "", namespace: str = "driftwood") -> DataFrame:
     """messages (message_id, message_type, header_exchange) with the exchange and the routing key that they are published with.
 
-    A header names the exchange first, then the map of types; the key is mapped by type or is the full type name.
+    A header names the exchange first, then the map of types; the key is mapped by type or is the full type name. A raw
+    message, which has no type, has an empty key.
     """
     out = messages.join(F.broadcast(exchange_map.select("message_type", F.col("exchange").alias("_x"))), "message_type", "left").join(F.broadcast(key_map.select("message_type", F.col("routing_key").alias("_k"))), "message_type", "left")
     exchange = F.coalesce(F.nullif("header_exchange", F.lit("")), "_x", F.lit(default_exchange))
-    return out.withColumns({"exchange": exchange, "routing_key": F.coalesce("_k", F.concat(F.lit(f"{namespace}."), "message_type"))}).drop("_x", "_k")
+    return out.withColumns({"exchange": exchange, "routing_key": F.coalesce("_k", F.concat(F.lit(f"{namespace}."), "message_type"), F.lit(""))}).drop("_x", "_k")
 
 
 def undeclared(exchange_map: DataFrame, exchanges: DataFrame) -> DataFrame:

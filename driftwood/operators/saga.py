@@ -3,14 +3,16 @@
 A machine has few states, so what a time slice of a key's events does is a small table: for each state before it, the state
 after it and what was counted meanwhile. Such tables compose. A key with very many events is therefore cut into slices
 that are folded apart, then its slices are folded, and each slice is run again from the state it really starts in
-when single transitions are asked for. Everything is a column expression.
+when single transitions are asked for. All that is column expressions; only which timeouts there are is worked out event by event.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,20 +23,33 @@ INITIAL = "Initial"
 
 @dataclass(frozen=True)
 class Step:
-    """What an event does in a state: go on to `to` (None: stay), publish `emit`, delete the saga, start a timeout."""
+    """What an event does in a state: go on to `to` (None: stay), publish `emit` (one or several), delete the saga, start a
+    timeout (or several)."""
 
     state: str
     event: str
     to: str | None = None
-    emit: str | None = None
+    emit: str | tuple[str, ...] | None = None
     finalize: bool = False
-    timeout_ms: int | None = None
+    timeout_ms: int | tuple[int, ...] | None = None
+
+    @property
+    def emits(self) -> tuple[str, ...]:
+        return () if self.emit is None else (self.emit,) if isinstance(self.emit, str) else self.emit
+
+    @property
+    def delays(self) -> tuple[int, ...]:
+        return () if self.timeout_ms is None else (self.timeout_ms,) if isinstance(self.timeout_ms, int) else self.timeout_ms
+
+    def then(self, other: "Step") -> "Step":
+        """Both at once: what other says of the next state holds, everything else adds up."""
+        return Step(self.state, self.event, other.to or self.to, self.emits + other.emits, self.finalize or other.finalize, self.delays + other.delays)
 
 
 @dataclass(frozen=True)
 class Machine:
-    """Steps by state and event; a later one for the same pair replaces an earlier one. during_any holds in every state
-    without a step of its own for the event. An event without a step is ignored and settled all the same."""
+    """Steps by state and event; a later one for the same pair replaces an earlier one. during_any holds in every state, after
+    the state's own step for the event. An event without a step is ignored and settled all the same."""
 
     steps: tuple[Step, ...]
     during_any: tuple[Step, ...] = ()
@@ -45,8 +60,11 @@ class Machine:
         object.__setattr__(self, "states", tuple(dict.fromkeys(named)))
 
     def table(self) -> dict[tuple[str, str], Step]:
-        out = {(q, s.event): s for s in self.during_any for q in self.states}
-        return out | {(s.state, s.event): s for s in self.steps}
+        out = {(s.state, s.event): s for s in self.steps}
+        for event, step in {s.event: s for s in self.during_any}.items():
+            for q in self.states:
+                out[q, event] = out.get((q, event), Step(q, event)).then(step)
+        return out
 
 
 class MachineBuilder:
@@ -83,8 +101,7 @@ def _next(machine: Machine, acc: Column, event: Column) -> Column:
     table, state = machine.table(), acc["state"]
     known = _case(table, state, event, lambda s: F.lit(True), F.lit(False))
     final = _case(table, state, event, lambda s: F.lit(s.finalize), F.lit(False))
-    to = _case(table, state, event, lambda s: F.lit(INITIAL if s.finalize else s.to or s.state if s.state != "*" else s.to), state)
-    to = F.coalesce(to, state)
+    to = _case(table, state, event, lambda s: F.lit(INITIAL if s.finalize else s.to or s.state), state)
     version = F.when(final, F.lit(0)).when(known & (state == INITIAL) & (to != INITIAL), F.lit(0)).when(known, acc["version"] + 1).otherwise(acc["version"])
     ended = _case(table, state, event, lambda s: F.lit((s.to or s.state) if s.finalize else None), F.lit(None).cast("string"))
     fresh = acc["fresh"] | final | (known & (state == INITIAL) & (to != INITIAL))
@@ -129,7 +146,7 @@ def fold(events: DataFrame, machine: Machine, slice_by: str) -> DataFrame:
 
 
 def transitions(events: DataFrame, machine: Machine, slice_by: str) -> DataFrame:
-    """(key, ts, id, event, from_state, to_state, emitted, finalized, timeout_ms, handled) of each event."""
+    """(key, ts, id, event, from_state, to_state, emitted, finalized, handled) of each event; emitted is an array, in order."""
     parts = _tables(events, machine, slice_by).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("slice", *[f"from_{q}" for q in machine.states]))).alias("parts"))
     step = lambda acc, p: F.struct(_over_slices(machine, acc["x"], p).alias("x"), F.concat(acc["starts"], F.array(F.struct(p["slice"].alias("slice"), acc["x"]["state"].alias("state")))).alias("starts"))
     slice_type = parts.schema["parts"].dataType.elementType["slice"].dataType.simpleString()
@@ -143,23 +160,58 @@ def transitions(events: DataFrame, machine: Machine, slice_by: str) -> DataFrame
         final = _case(table, state, event, lambda s: F.lit(s.finalize), F.lit(False))
         row = F.struct(
             x["ts"].alias("ts"), x["id"].alias("id"), event.alias("event"), state.alias("from_state"), to.alias("to_state"),
-            _case(table, state, event, lambda s: F.lit(s.emit).cast("string"), F.lit(None).cast("string")).alias("emitted"), final.alias("finalized"),
-            _case(table, state, event, lambda s: F.lit(s.timeout_ms).cast("long"), F.lit(None).cast("long")).alias("timeout_ms"), _case(table, state, event, lambda s: F.lit(True), F.lit(False)).alias("handled"),
+            _case(table, state, event, lambda s: F.array(*map(F.lit, s.emits)).cast("array<string>"), F.array().cast("array<string>")).alias("emitted"), final.alias("finalized"),
+            _case(table, state, event, lambda s: F.lit(True), F.lit(False)).alias("handled"),
         )
         return F.struct(F.when(final, F.lit(INITIAL)).otherwise(to).alias("state"), F.concat(acc["rows"], F.array(row)).alias("rows"))
 
     met = null_safe_join(_slices(events, slice_by), starts, ["key", "slice"])
     items = met.schema["items"].dataType.elementType
-    row_type = f"array<struct<ts:{items['ts'].dataType.simpleString()},id:{items['id'].dataType.simpleString()},event:string,from_state:string,to_state:string,emitted:string,finalized:boolean,timeout_ms:bigint,handled:boolean>>"
+    row_type = f"array<struct<ts:{items['ts'].dataType.simpleString()},id:{items['id'].dataType.simpleString()},event:string,from_state:string,to_state:string,emitted:array<string>,finalized:boolean,handled:boolean>>"
     rows = F.aggregate("items", F.struct(F.col("state").alias("state"), F.array().cast(row_type).alias("rows")), trail)["rows"]
     return met.select("key", F.explode(rows).alias("r")).select("key", "r.*")
 
 
-def with_timeouts(events: DataFrame, machine: Machine, slice_by: str, name: str = "timeout") -> DataFrame:
-    """events and the timeouts that the machine's transitions without timeouts would schedule.
-
-    A timeout comes even if its saga has moved on or was cancelled; it is for the state to ignore it.
+def _scheduled(table: dict[tuple[str, str], Step], name: str):
+    """Rows in the order of key, ts, id, event: the timeouts (key, ts, id) that they schedule. A key's rows pass by one at a
+    time; what is kept is the state and the timeouts that have not come yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, due = object(), INITIAL, []
+        for batch in batches:
+            kind, out = batch["ts"].type, ([], [], [])
+            for key, ts, id_, event in zip(batch["key"].to_pylist(), batch["ts"].cast(pa.int64()).to_pylist(), batch["id"].to_pylist(), batch["event"].to_pylist()):
+                if key != now:
+                    now, state, due = key, INITIAL, []
+                while True:
+                    early = due[0] if due and due[0] < (ts, id_ is not None, id_, event) else None
+                    if early:
+                        heappop(due)
+                    at, of, what = (early[0], early[2], name) if early else (ts, id_, event)
+                    if step := table.get((state, what)):
+                        for ms in step.delays:
+                            heappush(due, (at + 1000 * ms, of is not None, of, name))
+                            for column, value in zip(out, (key, at + 1000 * ms, of)):
+                                column.append(value)
+                        state = INITIAL if step.finalize else step.to or state
+                    if not early:
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch["key"].type), pa.array(out[1], pa.int64()).cast(kind), pa.array(out[2], batch["id"].type)], ["key", "ts", "id"])
+
+    return run
+
+
+def with_timeouts(events: DataFrame, machine: Machine, name: str = "timeout") -> DataFrame:
+    """events (key, ts, id, event) and the timeouts that the machine's steps schedule, as events `name` with the id of the
+    event that scheduled them.
+
+    Timeouts are events of the machine too: they change what later events do, and so which timeouts are scheduled. One comes
+    even if its saga has moved on or was deleted, and then meets the key's next saga; it is for the state to ignore it. A
+    timeout that a timeout schedules after a key's last event is not followed up. Since a saga with timeouts depends on all
+    that came before, a key's handled events go through one task in order; events without any step are left out first, and
+    the task keeps no rows.
     """
-    due = transitions(events, machine, slice_by).where("timeout_ms IS NOT NULL")
-    late = due.select("key", F.expr("ts + make_dt_interval(0, 0, 0, timeout_ms / 1000.0)").alias("ts"), "id", F.lit(name).alias("event"))
-    return events.select("key", "ts", "id", "event").unionByName(late)
+    table, kind = machine.table(), {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    rows = events.select("key", "ts", "id", "event").where(F.col("event").isin(sorted({e for _, e in table})))
+    late = rows.repartition("key").sortWithinPartitions("key", "ts", "id", "event").mapInArrow(_scheduled(table, name), f"key {kind['key']}, ts {kind['ts']}, id {kind['id']}")
+    return events.select("key", "ts", "id", "event").unionByName(late.withColumn("event", F.lit(name)))

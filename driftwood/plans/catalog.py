@@ -91,8 +91,8 @@ SELECT k AS user_id, id AS event_id, was AS from_state,
 FROM walk WHERE (was = 'Initial' AND event = 'signup') OR (was = 'Processing' AND event IN ('purchase', 'error'))"""
 )
 def saga_emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = transitions(saga_events(spark, sf_dir), FLOW, DAY).where("emitted IS NOT NULL")
-    return out.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "from_state", "to_state", "emitted")
+    out = transitions(saga_events(spark, sf_dir), FLOW, DAY)
+    return out.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "from_state", "to_state", F.explode("emitted").alias("emitted"))
 
 
 @query(
@@ -111,27 +111,42 @@ def saga_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold(saga_events(spark, sf_dir), FLOW, DAY).where("state = 'Processing'").select(F.col("key").alias("user_id"), "version")
 
 
-_BASE = _walk(_EVENTS, "purchase").replace("WITH RECURSIVE ordered", "WITH RECURSIVE o1").replace("walk", "w1").replace("ordered", "o1")
-_LATE = _walk("SELECT * FROM late_events", "purchase timeout", touches="''").replace("WITH RECURSIVE ", "")
+#: A purchase charges where a flow is open, and closes in any state: the step of the state first, then that of all states.
+ANY = MachineBuilder().initially("signup", to="Processing", emit=("Started", "Welcomed")).during("Processing", "purchase", emit="Charged").during_any("purchase", to="Completed", emit="Closed", finalize=True).build()
 
 
 @query(
-    _BASE
-    + """, late_events AS (
-  SELECT k, ts, id, event FROM w1
-  UNION ALL SELECT k, ts + INTERVAL 1 HOUR, id, 'timeout' FROM t1
-), """.replace("FROM t1", "FROM due")
-    + _LATE
+    _walk(_EVENTS, "purchase", touches="''")
     + """
-SELECT k AS user_id, arg_max(nxt, n) AS current_state, CAST(count(*) FILTER (WHERE was = 'Processing' AND event = 'purchase') AS BIGINT) AS completed,
-  CAST(count(*) FILTER (WHERE was = 'Processing' AND event = 'timeout') AS BIGINT) AS timed_out FROM walk GROUP BY k"""
+SELECT k AS user_id, id AS event_id, was AS from_state, e.emitted FROM walk JOIN (VALUES ('Initial', 'signup', 'Started'), ('Initial', 'signup', 'Welcomed'),
+  ('Processing', 'purchase', 'Charged'), ('Processing', 'purchase', 'Closed'), ('Initial', 'purchase', 'Closed')) AS e(state, what, emitted) ON was = e.state AND event = e.what"""
 )
-def saga_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fold(with_timeouts(saga_events(spark, sf_dir), TIMED, DAY), TIMED, DAY)
-    return out.select(F.col("key").alias("user_id"), F.col("state").alias("current_state"), F.col("ends.Completed").alias("completed"), F.col("ends.TimedOut").alias("timed_out"))
+def saga_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = transitions(saga_events(spark, sf_dir), ANY, DAY)
+    return out.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "from_state", F.explode("emitted").alias("emitted"))
 
 
-ORACLES["saga_timeouts"] = ORACLES["saga_timeouts"].replace(", late_events AS", ", due AS (SELECT k, ts, id FROM w1 WHERE was = 'Initial' AND event = 'signup'), late_events AS")
+#: Every signup that opens a saga schedules a timeout, which waits in a queue and comes whatever became of the saga.
+@query(
+    f"""
+WITH RECURSIVE ordered AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts, id, event) AS n FROM ({_EVENTS}) s),
+walk AS (
+  SELECT k, CAST(0 AS BIGINT) AS n, 0 AS turn, 'Initial' AS state, CAST([] AS STRUCT(ts TIMESTAMP, id BIGINT, event VARCHAR)[]) AS waits, 0 AS done, 0 AS late FROM (SELECT DISTINCT k FROM ordered) x
+  UNION ALL
+  SELECT k, CASE WHEN fires THEN n ELSE n + 1 END, turn + 1,
+    CASE WHEN fires THEN 'Initial' WHEN state = 'Initial' AND event = 'signup' THEN 'Processing' WHEN state = 'Processing' AND event = 'purchase' THEN 'Initial' ELSE state END,
+    CASE WHEN fires THEN waits[2:] WHEN state = 'Initial' AND event = 'signup' THEN list_append(waits, {{'ts': ts + INTERVAL 1 HOUR, 'id': id, 'event': 'timeout'}}) ELSE waits END,
+    done + CASE WHEN NOT fires AND state = 'Processing' AND event = 'purchase' THEN 1 ELSE 0 END, late + CASE WHEN fires AND state = 'Processing' THEN 1 ELSE 0 END
+  FROM (
+    SELECT w.*, o.ts, o.id, o.event, len(w.waits) > 0 AND (o.n IS NULL OR w.waits[1] < {{'ts': o.ts, 'id': o.id, 'event': o.event}}) AS fires
+    FROM walk w LEFT JOIN ordered o ON o.k = w.k AND o.n = w.n + 1 WHERE o.n IS NOT NULL OR len(w.waits) > 0
+  ) y
+)
+SELECT k AS user_id, arg_max(state, turn) AS current_state, CAST(max(done) AS BIGINT) AS completed, CAST(max(late) AS BIGINT) AS timed_out FROM walk GROUP BY k"""
+)
+def saga_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fold(with_timeouts(saga_events(spark, sf_dir), TIMED), TIMED, DAY)
+    return out.select(F.col("key").alias("user_id"), F.col("state").alias("current_state"), F.col("ends.Completed").alias("completed"), F.col("ends.TimedOut").alias("timed_out"))
 
 
 @query("WITH m AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations) SELECT conv_id, CAST(count(*) FILTER (WHERE before = 'user' AND role = 'assistant') AS BIGINT) AS answered, CAST(count(*) FILTER (WHERE before = 'user' AND role <> 'assistant') AS BIGINT) AS unanswered FROM m GROUP BY conv_id")
@@ -140,7 +155,7 @@ def saga_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = MachineBuilder().initially("user", to="Asked").during("Asked", "assistant", to="Answered", finalize=True).during("Asked", "user", to="Asked", emit="Unanswered").during("Asked", "system", to="Dropped", emit="Unanswered", finalize=True).build()
     turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("ts"), F.concat_ws("\u0001", "role", "text").alias("id"), F.col("role").alias("event"))
     out = transitions(turns, machine, "ts DIV 64")
-    return out.groupBy(F.col("key").alias("conv_id")).agg(F.count(F.when((F.col("from_state") == "Asked") & (F.col("event") == "assistant"), 1)).alias("answered"), F.count(F.when(F.col("emitted") == "Unanswered", 1)).alias("unanswered"))
+    return out.groupBy(F.col("key").alias("conv_id")).agg(F.count(F.when((F.col("from_state") == "Asked") & (F.col("event") == "assistant"), 1)).alias("answered"), F.count(F.when(F.array_contains("emitted", "Unanswered"), 1)).alias("unanswered"))
 
 
 # --- dispatch and settlement -----------------------------------------------------------------------------------------

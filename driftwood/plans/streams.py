@@ -38,7 +38,7 @@ def saga_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     twins.state_in_rocksdb(spark)
     events = _queue(spark, sf_dir).select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), F.col("event_type").alias("event"))
     out = twins.run_to_end(twins.saga_stream(events, FLOW), _folder(spark))
-    return out.where("emitted IS NOT NULL").select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "from_state", "to_state", "emitted")
+    return out.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "from_state", "to_state", F.explode("emitted").alias("emitted"))
 
 
 @query("SELECT DISTINCT event_id AS message_id, event_type AS consumer FROM events")

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.saga import INITIAL, Machine
 
-SAGA_SCHEMA = "key long, id long, event string, from_state string, to_state string, emitted string, finalized boolean"
+SAGA_SCHEMA = "key long, id long, event string, from_state string, to_state string, emitted array<string>, finalized boolean"
 
 
 def saga_processor(machine: Machine) -> StatefulProcessor:
@@ -31,7 +31,7 @@ def saga_processor(machine: Machine) -> StatefulProcessor:
                 if step is None:
                     continue
                 to = step.to or state
-                out.append((key[0], row.id, row.event, state, to, step.emit, step.finalize))
+                out.append((key[0], row.id, row.event, state, to, list(step.emits), step.finalize))
                 version = 0 if step.finalize or state == INITIAL else version + 1
                 state = INITIAL if step.finalize else to
             if state == INITIAL:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from driftwood.functions import codec, headers
 from driftwood.operators import dispatch, limits, routing, slip, stores
-from driftwood.operators.saga import INITIAL, MachineBuilder, fold, transitions
-from driftwood.plans.catalog import FLOW
+from driftwood.operators.saga import INITIAL, MachineBuilder, fold, transitions, with_timeouts
+from driftwood.plans.catalog import FLOW, TIMED
 from driftwood.sources.queues import deliver, stream, upsert_sink
 from driftwood.streaming import twins
 
@@ -58,6 +58,50 @@ def test_during_any_holds_in_every_state(spark):
     assert all(r.state == INITIAL and r.ends.Stopped == 1 for r in got)
 
 
+def test_during_any_comes_after_a_states_own_step(spark):
+    machine = MachineBuilder().initially("a", to="X", emit=("One", "Two")).during("X", "stop", to="Y", emit="Own").during_any("stop", emit="Any", to="Z").build()
+    rows = [(1, T0, 0, "a"), (1, T0 + timedelta(seconds=1), 1, "stop")]
+    out = {r.id: r for r in transitions(spark.createDataFrame(rows, "key long, ts timestamp_ntz, id long, event string"), machine, "date_trunc('day', ts)").collect()}
+    assert (out[0].emitted, out[1].emitted, out[1].to_state) == (["One", "Two"], ["Own", "Any"], "Z")
+
+
+def timed(rows):
+    """(state, ends) of one key, step by step, with a queue of timeouts."""
+    state, waits, ends, events, table = INITIAL, [], {}, sorted((ts, i, e) for _, ts, i, e in rows), TIMED.table()
+    while events or waits:
+        late = waits and (not events or waits[0] < events[0])
+        ts, i, e = waits.pop(0) if late else events.pop(0)
+        step = table.get((state, e))
+        if step:
+            waits = sorted([*waits, *((ts + timedelta(milliseconds=d), i, "timeout") for d in step.delays)])
+            if step.finalize:
+                ends[step.to] = ends.get(step.to, 0) + 1
+            state = INITIAL if step.finalize else step.to or state
+    return state, ends
+
+
+def test_timeouts_are_events_of_the_machine(spark):
+    rng = random.Random(8)
+    rows = [(0, T0, 0, "signup"), (0, T0 + timedelta(hours=2), 1, "signup"), (0, T0 + timedelta(hours=3, minutes=30), 2, "purchase")]
+    rows += [(k, T0 + timedelta(minutes=rng.randrange(0, 600, 10)), 100 * k + i, rng.choice(["signup", "view", "purchase"])) for k in range(1, 40) for i in range(rng.randrange(1, 30))]
+    events = spark.createDataFrame(rows, "key long, ts timestamp_ntz, id long, event string")
+    got = {r.key: r for r in fold(with_timeouts(events, TIMED), TIMED, "date_trunc('hour', ts)").collect()}
+    assert (got[0].ends.TimedOut, got[0].ends.Completed) == (2, 0)
+    for k, r in got.items():
+        state, ends = timed([x for x in rows if x[0] == k])
+        assert (r.state, r.ends.TimedOut, r.ends.Completed) == (state, ends.get("TimedOut", 0), ends.get("Completed", 0))
+    assert with_timeouts(events.limit(0), TIMED).count() == 0
+
+
+def test_raw_messages_and_redeliveries_are_routed(spark):
+    none = spark.createDataFrame([], "message_type string, exchange string, routing_key string")
+    raw = spark.sql("SELECT 1L AS message_id, CAST(NULL AS STRING) AS message_type, 'x' AS header_exchange")
+    assert routing.publish(raw, none, none).first().routing_key == ""
+    exchanges, bindings = spark.sql("SELECT 'x' AS name, 'topic' AS type"), spark.sql("SELECT 'x' AS exchange, 'q' AS queue, explode(array('a.*', '#')) AS binding_key")
+    twice = spark.sql("SELECT 7L AS message_id, 'x' AS exchange, 'a.b' AS routing_key FROM range(2)")
+    assert routing.route(twice, exchanges, bindings).count() == 2
+
+
 def test_ten_interleaved_sagas_all_finish(spark):
     machine = MachineBuilder().initially("Created", to="Processing").during("Processing", "Paid", to="Done", finalize=True).build()
     rows = [(k, T0 + timedelta(seconds=k), k, "Created") for k in range(10)] + [(k, T0 + timedelta(seconds=100 - k), 10 + k, "Paid") for k in range(10)]

@@ -1,8 +1,11 @@
 """Every operator against a brute-force version on small tables, with nulls, empty and long texts, repeats and odd columns."""
 
 import hashlib
+import math
+import pathlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -443,3 +446,56 @@ def test_classifiers_without_labels(spark, docs):
 )
 def test_empty_tables(spark, nothing, run):
     assert run(nothing, spark).collect() == []
+
+
+def test_parts_of_names_are_judged_by_density():
+    page = "<body><article><h1>T</h1><p>A long paragraph of text with many words in it.</p><div class='share-price'><p>Prices rose by ten percent in the last quarter.</p></div><div class='share-tools'><a href=x>Send this on</a></div><div class='ad-slot-2'>Buy now, and buy a lot of it.</div></article></body>"
+    assert html_text.main_text(page) == "T\n\nA long paragraph of text with many words in it.\n\nPrices rose by ten percent in the last quarter."
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20000 + "x</i>" * 20000, "<b>" * 20000 + "<hr>" * 20000, "<b>" * 20000 + "<li>" * 20000, "<svg>" * 20000, "<b><article>" + "<i>" * 20000 + "</b>" * 20000, "<div>" * 20000 + "x"])
+def test_odd_pages_take_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 5
+
+
+def test_densities(tmp_path):
+    rng = random.Random(11)
+
+    def grow(depth):
+        return "".join(f"<{t}>{grow(depth - 1)}</{t}>" if depth and (t := rng.choice(["div", "a", "span", "b", ""])) else "word " * rng.randrange(9) for _ in range(rng.randrange(1, 5)))
+
+    for _ in range(30):
+        tags, parent, last, out, noise, runs = html_text._tree(f"<body>{grow(4)}</body>")
+        density, summed, _ = html_text.densities(tags, parent, out, runs)
+
+        def numbers(i):
+            links = [any(tags[k] == "a" and k <= j <= last[k] for k in range(len(tags))) for j in range(len(tags))]
+            size = [(j, len(t.strip())) for j, t in runs if t and i <= j <= last[i]]
+            return sum(n for _, n in size), sum(n for j, n in size if links[j]), last[i] - i, sum(tags[j] == "a" for j in range(i + 1, last[i] + 1))
+
+        body = next((i for i in range(len(tags)) if tags[i] == "body"), 0)
+        c, lc, _, _ = numbers(body)
+        share, want = lc / max(c, 1), []
+        for i in range(len(tags)):
+            c, lc, t, lt = numbers(i)
+            if not c:
+                want.append(0.0)
+                continue
+            t, lt = max(t, 1), max(lt, 1)
+            want.append(c / t * max(math.log(max(c / max(lc, 1) * t / lt, 1)), 0) / math.log(c / max(c - lc, 1) * lc + share * c + math.e))
+        children = [[j for j in range(1, len(tags)) if parent[j] == i and j != i] for i in range(len(tags))]
+        assert np.allclose(density, want)
+        assert np.allclose(summed, [sum(want[j] for j in children[i]) if children[i] else want[i] for i in range(len(tags))])
+
+
+@pytest.mark.parametrize("name,license", [("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_long_licences_are_known(spark, name, license):
+    path = pathlib.Path("/usr/share/common-licenses") / name
+    if not path.exists():
+        pytest.skip("no licence texts on this machine")
+    text = path.read_text()
+    rows = [(1, text), (2, text.upper().replace("license", "licence")), (3, "Copyright 2001 Somebody\n\n" + re.sub("[ ]+", "  ", text)), (4, text + " and more")]
+    got = {r.doc_id: r.license for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: license, 2: license, 3: license, 4: None}

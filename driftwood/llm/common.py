@@ -19,10 +19,11 @@ U64 = np.uint64
 CHUNK_BYTES = 1 << 17
 #: A longer document is worked on in pieces of so many bytes.
 PIECE_BYTES = 1 << 19
-#: Bytes of an Arrow batch, beside one row at least, in tables that a Workspace saves.
-BATCH_BYTES = 4 << 20
+#: What bounds a task's memory while a Workspace saves a table: Arrow batches of so many bytes (or one row), also where a row is
+#: a whole group.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 #: Files of such a table for each core of the cluster at most. A task takes what it gets partition by partition.
-FILES_PER_CORE = 8
+FILES_PER_CORE = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,15 +44,16 @@ class Workspace:
         self.spark, self.root = spark, f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """df, written and read back. Arrow batches are bounded by bytes meanwhile, also where a row is a whole group,
-        and the number of files by the cluster's cores, whatever the number of shuffle partitions."""
-        path, key = f"{self.root}/{name}", "spark.sql.execution.arrow.maxBytesPerBatch"
-        was = self.spark.conf.get(key)
-        self.spark.conf.set(key, BATCH_BYTES)
+        """df, written and read back, with SETTINGS meanwhile; the number of files is bounded by the cluster's cores, whatever
+        the number of shuffle partitions."""
+        path, was = f"{self.root}/{name}", {k: self.spark.conf.get(k) for k in SETTINGS}
+        for k, v in SETTINGS.items():
+            self.spark.conf.set(k, v)
         try:
             df.coalesce(FILES_PER_CORE * self.spark.sparkContext.defaultParallelism).write.parquet(path)
         finally:
-            self.spark.conf.set(key, was)
+            for k, v in was.items():
+                self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

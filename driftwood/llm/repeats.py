@@ -232,6 +232,8 @@ def _span_table(text: DataFrame, length: int, hot: int, work: Workspace) -> Data
     work.drop("anchors", "often")
     place = F.struct("doc_id", "th", "first", "last", "at")
     kinds = work.save(shared.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.min(place).alias("x")), "kinds")
+    met = work.save(shared.join(kinds.select("anchor", "digest", "n").hint("merge"), ["anchor", "digest"]), "met")
+    work.drop("shared")
     mixed = kinds.where("mixed")
     crowded = work.save(mixed.groupBy("anchor").agg(F.count("*").alias("size")).where(F.col("size") > hot).select("anchor", F.lit(True).alias("hot")), "crowded")
     part = F.struct("anchor", "digest", "x.first", "x.last", "x.at", (F.col("n") == 1).alias("alone"), F.coalesce("hot", F.lit(False)).alias("hot"))
@@ -247,11 +249,11 @@ def _span_table(text: DataFrame, length: int, hot: int, work: Workspace) -> Data
     windows = cut.where("hot").mapInArrow(_windows(length), "anchor long, digest long, alone boolean, a int, w1 long, w2 long")
     often = windows.groupBy("anchor", "a", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     counted = windows.where("alone").join(often, ["anchor", "a", "w1", "w2"], "left_semi").select("anchor", "digest", "a", (F.col("a") + length).alias("b"))
-    whole = shared.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("doc_id", "th", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
-    parts = mixed.where("n = 1").select("anchor", "digest", "x.*").join(compared.unionByName(counted), ["anchor", "digest"]).select("doc_id", "th", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
+    whole = met.where("n > 1").select("doc_id", "th", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    parts = met.where("mixed AND n = 1").join(compared.unionByName(counted), ["anchor", "digest"]).select("doc_id", "th", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
     spans = whole.unionByName(parts).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one text, however often it is there
     spans = work.save(spans.mapInArrow(_merged, f"doc_id {key}, th long, spans array<struct<a:int,b:int>>"), "spans")
-    work.drop("shared", "kinds", "crowded", "parts", "fragments")
+    work.drop("met", "kinds", "crowded", "parts", "fragments")
     return spans
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 GUID = r"^\{?[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\}?$"
-ENVELOPE, INTEROP, RAW = "application/vnd.driftwood+json", "application/vnd.interop+json", "application/json"
+# Names on the wire.
+ENVELOPE, INTEROP, RAW = "application/vnd.driftwood+json", "application/vnd.masstransit+json", "application/json"
 EXCERPT = 500
 
 
@@ -40,6 +41,17 @@ def envelope(message_id: Column, correlation_id: Column, message_type: Column, s
     return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"body":'), body, F.lit("}"))
 
 
+def interop_envelope(message_id: Column, namespace: Column, message_type: Column, sent: Column, message: Column) -> Column:
+    """The envelope that other buses read: the message, which is JSON, stands in it under `message`."""
+    head = F.to_json(F.struct(message_id.alias("messageId"), F.array(urn(namespace, message_type)).alias("messageType"), F.date_format(sent, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("sentTime")))
+    return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"message":'), message, F.lit("}"))
+
+
+def interop_message(envelope_json: Column, schema: StructType | str) -> Column:
+    """The message of an interop envelope as a struct; null for no envelope and for one whose message is missing or null."""
+    return decode(F.get_json_object(F.trim(envelope_json), "$.message"), schema)
+
+
 def envelope_field(envelope_json: Column, name: str) -> Column:
     return F.get_json_object(envelope_json, f"$.{name}")
 

@@ -42,6 +42,13 @@ def merged(caller: Column, message_type: Column, message_id: Column) -> Column:
     return F.map_concat(F.map_filter(caller, lambda k, v: ~k.isin(MESSAGE_TYPE, "message-id")), own)
 
 
+def inject(headers: Column, trace_id: Column, span_id: Column, sampled: Column) -> Column:
+    """headers with the W3C traceparent of a span, in place of any that they carry; as they are where there is no span."""
+    parent = F.concat(F.lit("00-"), F.lower(trace_id), F.lit("-"), F.lower(span_id), F.when(sampled, F.lit("-01")).otherwise(F.lit("-00")))
+    others = F.map_filter(headers, lambda k, v: F.lower(k) != "traceparent")
+    return F.when(parent.isNull(), headers).otherwise(F.map_concat(others, F.create_map(F.lit("traceparent"), parent)))
+
+
 def trace(headers: Column) -> Column:
     """(trace_id, span_id, sampled) of a W3C traceparent, or null."""
     text = F.try_element_at(headers, F.lit("traceparent"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import running_sum
+from .ordered import numbered, running_sum
 
 
 def interval_delay(attempt: Column, ms: int) -> Column:
@@ -28,6 +28,14 @@ def retryable(error: Column, attempt: Column, most: int, handled: list[str] = ()
     return (attempt < most) & (~error.isin(*ignored) if ignored else F.lit(True)) & (error.isin(*handled) if handled else F.lit(True))
 
 
+def subtypes(kinds: list[str], parents: dict[str, str]) -> list[str]:
+    """kinds and every kind that descends from one of them, for the lists of `retryable`."""
+    found = list(dict.fromkeys(kinds))
+    for kind in found:
+        found.extend(c for c, p in parents.items() if p == kind and c not in found)
+    return found
+
+
 def attempts(failures: DataFrame, most: int) -> DataFrame:
     """failures once for each attempt after the first, 1 to most."""
     return failures.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(most))))
@@ -45,6 +53,11 @@ def keep_oldest(messages: DataFrame, queue: str, order: list[str], length: int)
     return messages.withColumn("_n", F.row_number().over(w)).where(f"_n <= {length}").drop("_n")
 
 
+def rejected(messages: DataFrame, queue: str, order: list[str], length: int, slice_by: str) -> DataFrame:
+    """What a full queue that rejects what is published hands to its dead-letter exchange: all that `keep_oldest` leaves out."""
+    return numbered(messages, [queue], order, slice_by, "_n").where(f"_n > {length}").drop("_n")
+
+
 def keep_bytes(messages: DataFrame, queue: str, order: list[str], size: Column, most: int, slice_by: str) -> DataFrame:
     """The oldest messages of each queue whose sizes together are most at most."""
     return running_sum(messages, [queue], order, size.cast("long"), slice_by, "bytes_so_far").where(f"bytes_so_far <= {most}")
@@ -67,6 +80,11 @@ def in_flight(starts: DataFrame, ends: DataFrame, slice_by: str) -> DataFrame:
     return running_sum(both, ["endpoint"], ["ts", "delta", "id"], F.col("delta").cast("long"), slice_by, "in_flight")
 
 
+def level(changes: DataFrame, keys: list[str], order: list[str], delta: str, slice_by: str, name: str = "level") -> DataFrame:
+    """changes with what an up-down counter shows after each: bytes in flight, messages that wait to be published."""
+    return running_sum(changes, keys, order, F.col(delta).cast("long"), slice_by, name)
+
+
 def utilisation(in_flight_now: Column, most: int) -> Column:
     return in_flight_now / F.lit(float(most)) * 100
 

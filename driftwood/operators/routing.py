@@ -97,6 +97,12 @@ def address(uri: Column) -> Column:
     return F.struct(F.when(scheme == "exchange", path).otherwise(F.lit("")).alias("exchange"), F.when(scheme == "exchange", F.lit("")).otherwise(path).alias("routing_key"), F.nullif(F.url_decode(found), F.lit("")).alias("correlation_id"))
 
 
+def send_raw(uri: Column) -> Column:
+    """(exchange, routing_key, headers) of a payload that is sent as it is: the key is the path of the address, headers are empty."""
+    path = F.regexp_extract(uri, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#]*)?/*([^?#]*)", 1)
+    return F.struct(F.lit("").alias("exchange"), path.alias("routing_key"), F.create_map().cast("map<string,string>").alias("headers"))
+
+
 def batches(messages: DataFrame, keys: list[str], order: list[str], slice_by: str, size: int = 64) -> DataFrame:
     """messages with the number of the publisher batch, of size at most, that they leave in."""
     return numbered(messages, keys, order, slice_by, "_n").withColumn("batch", F.expr(f"CAST((_n - 1) DIV {size} AS BIGINT)")).drop("_n")

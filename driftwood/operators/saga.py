@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import null_safe_join
+from .ordered import null_safe_join, running_sum
 
 INITIAL = "Initial"
 
@@ -172,6 +172,43 @@ def transitions(events: DataFrame, machine: Machine, slice_by: str) -> DataFrame
     return met.select("key", F.explode(rows).alias("r")).select("key", "r.*")
 
 
+@dataclass(frozen=True)
+class Then:
+    """How a handled event changes a field of its saga: `add` a value, or `put` one in its place. value is SQL over the columns of
+    the events; events are the names it holds for (none: all that the machine handles)."""
+
+    value: str
+    events: tuple[str, ...] = ()
+    kind: str = "put"
+
+    def __post_init__(self):
+        if self.kind not in ("put", "add"):
+            raise ValueError("a field is put or added to")
+
+
+def carried(events: DataFrame, machine: Machine, slice_by: str, fields: dict[str, Then]) -> DataFrame:
+    """(key, saga, *fields): the data of each saga of a key, open or deleted; saga numbers a key's sagas from 1.
+
+    A saga starts with the handled event that finds none. A field to which nothing was added is 0, one that was not put is null; nulls
+    that are put count, nulls that are added do not. Values ride along with the id, so that events are not joined with what the
+    machine makes of them; what is put is the last in order, so both kinds are aggregated before the shuffle, whatever a key holds.
+    """
+    values = F.struct(F.col("id").alias("id"), *[F.expr(f.value).alias(name) for name, f in fields.items()])
+    met = transitions(events.withColumn("id", values), machine, slice_by).where("handled")
+    opens = (F.col("from_state") == INITIAL) & ((F.col("to_state") != INITIAL) | F.col("finalized"))
+    met = met.where((F.col("from_state") != INITIAL) | opens)
+    rows = running_sum(met, ["key"], ["ts", "id", "event"], opens.cast("long"), slice_by, "saga")
+
+    def one(name: str, f: Then) -> Column:
+        holds = F.col("event").isin(*f.events) if f.events else F.lit(True)
+        value = F.col("id")[name]
+        if f.kind == "add":
+            return F.coalesce(F.sum(F.when(holds, value)), F.lit(0)).alias(name)
+        return F.max_by(F.struct(value.alias("v")), F.when(holds, F.struct("ts", "id", "event")))["v"].alias(name)
+
+    return rows.groupBy("key", "saga").agg(*[one(n, f) for n, f in fields.items()])
+
+
 def _scheduled(table: dict[tuple[str, str], Step], name: str):
     """Rows in the order of key, ts, id, event: the timeouts (key, ts, id) that they schedule. A key's rows pass by one at a
     time; what is kept is the state and the timeouts that have not come yet."""

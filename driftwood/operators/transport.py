@@ -34,8 +34,9 @@ def delay_queue(delay_ms: Column, destination: Column, prefix: str = "driftwood.
 
 
 def dead_lettered(settled: DataFrame, queues: DataFrame) -> DataFrame:
-    """Rejected and nacked messages as they are published again: to the queue's dead-letter exchange, under its key or their own."""
-    bad = settled.where("action IN ('Nack', 'Reject')").join(F.broadcast(queues), "endpoint")
+    """Rejected, nacked and deferred messages as they are published again: to the queue's dead-letter exchange, under its key or
+    their own. A deferred one waits there until it expires."""
+    bad = settled.where("action IN ('Nack', 'Reject', 'Defer')").join(F.broadcast(queues), "endpoint")
     return bad.where("dead_letter_exchange <> ''").withColumn("exchange", F.col("dead_letter_exchange")).withColumn("routing_key", F.coalesce("dead_letter_key", "routing_key"))
 
 

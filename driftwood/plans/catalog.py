@@ -332,9 +332,9 @@ def codec_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", codec.envelope_field(F.col("json"), "messageId").alias("message_id"), F.get_json_object("json", "$.messageType[0]").alias("urn"), codec.decode(codec.envelope_field(F.col("json"), "body"), "k bigint")["k"].alias("k"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'application/vnd.driftwood+json' WHEN 1 THEN 'application/vnd.interop+json' ELSE 'application/json' END AS decoder FROM events")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'application/vnd.driftwood+json' WHEN 1 THEN 'application/vnd.masstransit+json' ELSE 'application/json' END AS decoder FROM events")
 def codec_content_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.expr("CASE event_id % 4 WHEN 0 THEN 'Application/VND.driftwood+json; charset=utf-8' WHEN 1 THEN 'application/vnd.interop+json' WHEN 2 THEN 'text/odd' END")
+    kind = F.expr("CASE event_id % 4 WHEN 0 THEN 'Application/VND.driftwood+json; charset=utf-8' WHEN 1 THEN 'application/vnd.masstransit+json' WHEN 2 THEN 'text/odd' END")
     return read(spark, sf_dir, "events").select("event_id", codec.decoder_for(kind).alias("decoder"))
 
 

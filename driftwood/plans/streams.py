@@ -13,7 +13,10 @@ from .catalog import FLOW, ORACLES, query
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or "/tmp/checkpoints"  # one machine, nothing set
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

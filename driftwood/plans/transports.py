@@ -39,7 +39,7 @@ def dead_letter_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.dead_lettered(rows, queues).select("message_id", "exchange", "routing_key")
 
 
-@query("SELECT DISTINCT user_id AS user_id, true AS ordered FROM events")
+@query("SELECT user_id, bool_and(before IS NULL OR ts >= before) AS ordered FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) x GROUP BY user_id")
 def processing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.in_order(read(spark, sf_dir, "events"), "user_id", "event_id", "ts", "event_id DIV 10000")
 

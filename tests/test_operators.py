@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftwood.functions import codec, headers
 from driftwood.operators import dispatch, limits, routing, slip, stores
-from driftwood.operators.saga import INITIAL, MachineBuilder, fold, transitions, with_timeouts
+from driftwood.operators.saga import INITIAL, MachineBuilder, Then, carried, fold, transitions, with_timeouts
 from driftwood.plans.catalog import FLOW, TIMED
 from driftwood.sources.queues import deliver, stream, upsert_sink
 from driftwood.streaming import twins
@@ -233,3 +233,34 @@ def test_null_keys_and_times_are_kept(spark):
     assert got == {3: 1, 1: 2, 4: 1, 2: 2}
     events = rows.withColumn("event", F.lit("signup")).withColumnRenamed("q", "key")
     assert transitions(events, FLOW, "date_trunc('day', ts)").count() == 4
+
+
+def test_saga_data_belongs_to_one_saga_of_a_key(spark):
+    """Two sagas of a key, an event that none takes, nulls put and added, ties in time, and an empty table."""
+    machine = MachineBuilder().initially("open", to="Open").initially("touch").during("Open", "add").during("Open", "close", to="Done", finalize=True).build()
+    rows = [("a", 1, 1, "open", 5), ("a", 2, 2, "add", 7), ("a", 2, 3, "add", None), ("a", 3, 4, "close", 1), ("a", 4, 5, "touch", 99), ("a", 5, 6, "add", 99), ("a", 6, 7, "open", None), (None, 1, 8, "open", 3), ("b", 1, 9, "touch", 1)]
+    events = spark.createDataFrame(rows, "key string, ts long, id long, event string, v long")
+    fields = {"total": Then("v", ("add",), "add"), "first": Then("v", ("open",)), "last": Then("v"), "all": Then("v", kind="add")}
+    got = {tuple(r) for r in carried(events, machine, "ts DIV 2", fields).select("key", "saga", *fields).collect()}
+    assert got == {("a", 1, 7, 5, 1, 13), ("a", 2, 0, None, None, 0), (None, 1, 0, 3, 3, 3)}
+    assert carried(events.limit(0), machine, "ts DIV 2", fields).count() == 0
+    with pytest.raises(ValueError):
+        Then("v", kind="multiply")
+
+
+def test_deferring_must_be_enabled(spark):
+    no = F.lit(False)
+    with pytest.raises(ValueError):
+        dispatch.settlement(F.lit(True), no, no, no, F.lit(True))
+    actions = spark.range(1).select(dispatch.settlement(F.lit(True), F.lit(True), no, no, F.lit(True), True), dispatch.settlement(F.lit(True), no, no, F.lit(True), F.lit(True), True)).first()
+    assert tuple(actions) == ("Defer", "Requeue")
+
+
+def test_interop_messages_of_odd_texts(spark):
+    texts = spark.createDataFrame([(t,) for t in (None, "", "null", "{}", "[1]", '{"message":null}', '{"message":{"k":1},"extra":2}')], "t string")
+    assert [r[0] for r in texts.select(codec.interop_message(F.col("t"), "k int")["k"]).collect()] == [None] * 6 + [1]
+
+
+def test_subtypes_of_all_depths():
+    parents = {"b": "a", "c": "b", "d": "x"}
+    assert (limits.subtypes(["a"], parents), limits.subtypes([], parents), limits.subtypes(["d", "d"], parents)) == (["a", "b", "c"], [], ["d"])

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from driftwood.plans import catalog, streams, transports  # noqa: F401
+from driftwood.plans import catalog, messages, streams, transports  # noqa: F401
 
 
 def _norm(x):

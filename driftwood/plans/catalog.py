@@ -283,9 +283,10 @@ def publish_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.publish(m, xs, ks, "default.x").select("message_id", "exchange", "routing_key")
 
 
-@query("SELECT * FROM (VALUES ('ghost', 'ghost.x')) AS t(message_type, exchange)")
+@query("SELECT DISTINCT event_type AS message_type, concat(event_type, '.x') AS exchange FROM events WHERE event_type NOT IN ('click', 'view')")
 def publish_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.undeclared(_values(spark, "('click', 'topic.x'), ('ghost', 'ghost.x')", "message_type, exchange"), _values(spark, _EXCHANGES, "name, type"))
+    mapped = read(spark, sf_dir, "events").selectExpr("event_type AS message_type", "IF(event_type IN ('click', 'view'), 'topic.x', concat(event_type, '.x')) AS exchange").distinct()
+    return routing.undeclared(mapped, _values(spark, _EXCHANGES, "name, type"))
 
 
 @query("""

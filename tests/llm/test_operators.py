@@ -408,6 +408,53 @@ def test_toxicity_learns_subwords():
     assert p[0] > 0.5 > p[1] and 0 <= p[2] <= 1 and p[3] > 0.5
 
 
+def test_toxicity_scores_by_brute_force():
+    """The worst window's mean over its subwords, each hashed by itself."""
+    rng = np.random.default_rng(3)
+    weight = rng.normal(0, 1, toxicity.BUCKETS)
+    texts = ["", "a", "ab cd", "Some WORDS, and 3 more; é words!", "x" * 100, " ".join(["tiny", "longer", "words"] * 40), " " * 50, None]
+
+    def one(text):
+        low, means = [int(toxicity._PLAIN[c]) for c in (text or "").encode()], []
+        for k in range(max(1, -(-(len(low) - 12) // 12)) if low else 0):
+            found = []
+            for n in toxicity.SIZES:
+                for i in range(12 * k, min(12 * k + 24, len(low))):
+                    if i + n <= len(low) and 32 not in low[i + 1 : i + n - 1]:
+                        h = n
+                        for c in low[i : i + n]:
+                            h = ((h ^ c) * 16777619) % (1 << 32)
+                            h ^= h >> 15
+                        found.append(weight[h % toxicity.BUCKETS])
+            means.append(sum(found) / max(len(found), 1))
+        return 1 / (1 + math.exp(-(max(means, default=0.0) - 0.25)))
+
+    assert toxicity.WINDOW == 24
+    assert np.allclose(toxicity.score(*utf8(pa.array(texts)), weight, -0.25), [one(t) for t in texts])
+
+
+def test_quality_scores_by_brute_force():
+    """Passage by passage: shares of byte kinds counted one by one, then the gated attention's weighted mean."""
+    rng = random.Random(14)
+    texts = [prose(rng, n) for n in (3, 150, 700)] + ["", None, "again " * 300]
+    net = quality.train([prose(rng, 80) if i % 2 else "again " * 150 for i in range(40)], [i % 2 for i in range(40)], 0.5, epochs=3)
+    got = quality.score(*utf8(pa.array(texts)), net)
+    for text, p in zip(texts, got):
+        raw = (text or "").encode()
+        bag, feats = quality.passages(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        above = below = 0.0
+        assert len(feats) == max(1, -(-len(raw) // quality.PASSAGE))
+        for k, f in enumerate(feats):
+            piece = raw[k * quality.PASSAGE : (k + 1) * quality.PASSAGE]
+            kinds = [sum(int(quality._KIND[c]) == x for c in piece) / max(len(piece), 1) * 10 for x in range(quality.KINDS)]
+            assert np.allclose(f[: quality.KINDS], kinds, atol=1e-5)
+            h = [math.tanh(sum(f[i] * net["A"][i, j] for i in range(quality.FEATURES)) + net["a"][j]) for j in range(quality.HIDDEN)]
+            dot = lambda m, j: sum(h[i] * m[i, j] for i in range(quality.HIDDEN))
+            e = math.exp(sum(math.tanh(dot(net["V"], j)) / (1 + math.exp(-dot(net["U"], j))) * net["w"][j] for j in range(quality.GATE)))
+            above, below = above + e * sum(x * c for x, c in zip(h, net["c"])), below + e
+        assert abs(p - 1 / (1 + math.exp(-(above / below + net["b"][0])))) < 1e-4
+
+
 def test_quality_finds_the_bad_passage():
     rng = random.Random(6)
     texts = [prose(rng, 80) if i % 2 else " ".join(["again"] * 150) for i in range(120)]
@@ -441,6 +488,7 @@ def test_classifiers_without_labels(spark, docs):
         lambda d, s: neardup.near_duplicates(d), lambda d, s: neardup.keep_one_of_each(d), lambda d, s: repeats.removal_digest(d), lambda d, s: repeats.remove_repeats(d), lambda d, s: packing.pack(d), lambda d, s: licences.licence_scan(d),
         lambda d, s: decontaminate.contamination(d, s.createDataFrame([], "item_id long, text string")), lambda d, s: decontaminate.keep_clean(d, s.createDataFrame([(1, "a b")], "item_id long, text string")),
         lambda d, s: toxicity.toxicity(d, s.createDataFrame([(1, 1)], "doc_id long, toxic int")), lambda d, s: quality.keep_good(d, s.createDataFrame([(1, 1)], "doc_id long, quality int")),
+        lambda d, s: topk.top_k(s.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 2 == 0),
         lambda d, s: html_text.extract_text(s.createDataFrame([], "page_id long, url string, html string")), lambda d, s: urls.judge(s.createDataFrame([], "page_id long, url string")),
     ],
 )

@@ -122,12 +122,15 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, scale: float = 10
     scanned = work.save(scanned, "scanned")
     by = Window.partitionBy("query_id")
     sure = scanned.withColumn("r", F.row_number().over(by.orderBy(F.desc("lower"), "vec_id"))).where(f"r <= {k}").groupBy("query_id").agg(F.min("lower").alias("least"), F.count("*").alias("c"))
-    open_ = scanned.join(sure, "query_id").where(f"c < {k} OR upper >= least").select("query_id", "vec_id", "upper")
-    ordered = work.save(open_.withColumn("r", F.row_number().over(by.orderBy(F.desc("upper"), "vec_id"))), "ordered")
-    first = work.save(_read(ordered.where(f"r <= {k}"), exact), "first")
+    open_ = work.save(scanned.join(sure, "query_id").where(f"c < {k} OR upper >= least").select("query_id", "vec_id", "upper"), "open")
+    # windows keep k rows of a query at most, so Spark limits them in each task before the shuffle
+    best = work.save(open_.withColumn("r", F.row_number().over(by.orderBy(F.desc("upper"), "vec_id"))).where(f"r <= {k}").drop("r"), "best")
+    first = work.save(_read(best, exact), "first")
     kth = first.groupBy("query_id").agg(F.min("score").alias("kth"))
-    rest = _read(ordered.where(f"r > {k}").join(kth, "query_id").where("upper >= kth"), exact)
-    work.drop("scanned", "cells")
+    last = best.groupBy("query_id").agg(F.min(F.struct("upper", F.expr("~vec_id").alias("v"))).alias("last")).join(kth, "query_id")  # ~ turns the order of ids around
+    after = "upper >= kth AND (upper < last.upper OR upper = last.upper AND vec_id > ~last.v)"
+    rest = work.save(_read(open_.join(last, "query_id").where(after).select("query_id", "vec_id"), exact), "rest")
+    work.drop("scanned", "cells", "open", "best")
     rank = F.row_number().over(by.orderBy(F.desc("score"), "vec_id"))
     return first.unionByName(rest).withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 

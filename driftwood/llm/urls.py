@@ -15,22 +15,31 @@ BUCKETS, SIZES = 4096, (3, 4, 5)
 #: The bound on the labelled rows; more are an error.
 MOST_LABELLED = 5000
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: Hosts of invented URLs to learn from, labelled by hand.
-BLOCKED_HOSTS = "casino-royal bestcasino casino-online win-casino mega-win lucky-win bets-now sportbets freebets24 bets365x poker-bets slots-win cheappills4u pills-online buy-cheap-meds cheap-viagra pharma-pills adult-video x-adult-clips xxx-cams hot-adult adult-dating trackads click-ads track-pixel ad-tracker adserver popup-ads spam-mill link-farm seo-spam spamlist article-farm free-money cheap-loans fast-loans free-iphone win-prize torrent-x warez-crack".split()
-ALLOWED_HOSTS = "library museum gazette chronicle weather gardening recipes university hospital cityhall thenation theatre history science astronomy physics mathematics kitchen mountain harbour railway thehenat tionered inthered onthean theronin etheran ouster anditen resthen thatones ndering harbourth thether thesion weaving bakery orchard sailing painting thetimes thanh estuary station nation education translation notation mention ration thing nothing atheneum northern southern leather feather".split()
-
-
-_PATHS = [f"/{language}/{n}{end}" for n, language in enumerate(("en", "de", "fr", "es"), 7) for end in ("", "/", ".html", "?page=2")]
+#: Invented URLs to learn from, labelled by hand. Hosts of either class end alike; names and paths tell them apart.
+BLOCKED = """
+casino-royal.org/slots/free-spins best-casino-bets.net/poker/bonus?ref=7 onlinecasino24.com/jackpot/win-now www.lucky-slots.org/casino/bonus-code.html bets365x.net/sports-betting/odds
+poker-bets.com/download/free-chips freebets24.org/promo/deposit-bonus mega-jackpot.net/roulette/live spin-and-win.org/casino/welcome-bonus m.sportbets.net/betting-tips/today
+cheap-pills-online.net/buy/viagra-cheap buy-cheap-meds.org/order/cialis-no-prescription www.pharma-pills.com/buy/generic-viagra.html discount-meds24.net/order/tramadol weightloss-pills.org/buy/miracle-diet
+adult-video.net/xxx/watch/12 xxx-cams.org/live/hot-girls www.hot-adult-dating.com/join/free-sex sex-clips.net/porn/video-33.html adult-cams.org/xxx/free
+trackads.net/click?id=9 click-ads.org/redirect/offer/33 ad-tracker.com/pixel/click.gif popup-ads.net/banner/offer.html adserver24.org/click/track
+free-iphone-winner.net/claim/prize win-prize-now.org/survey/claim-reward cheap-loans.net/payday/apply-now fast-loans24.org/instant-cash/apply free-money-online.com/get-rich/earn-cash-fast
+torrent-warez.net/crack/keygen-download serial-keys.org/download/crack-full.html free-downloads-crack.com/keygen/full-version movies-torrent.net/watch-free/stream cheap-replica-watches.org/buy/rolex-replica
+seo-backlinks.net/buy-links/cheap spam-mill.org/link-farm/page-4 article-spinner.com/buy/cheap-backlinks followers-cheap.net/buy/likes-now replica-bags.org/cheap/discount-sale
+""".split()
+ALLOWED = """
+www.city-library.org/catalogue/new-books national-museum.net/exhibitions/roman-coins.html daily-gazette.com/news/council-votes-on-budget weather-office.org/forecast/week blog.home-gardening.net/posts/pruning-roses
+recipes-kitchen.com/soup/onion-soup.html university.org/departments/physics/staff general-hospital.net/patients/visiting-hours cityhall.org/services/waste-collection theatre-royal.com/programme/season
+history-journal.net/articles/medieval-trade science-review.org/issue/12/article/4 astronomy-club.com/observing/moon-map mathematics.net/lectures/linear-algebra.pdf mountain-hiking.org/trails/north-ridge
+harbour-authority.net/tides/table railway-timetable.com/stations/central www.local-bakery.org/about docs.python-guide.net/tutorial/functions.html forum.woodworking.org/topic/dovetail-joints
+music-school.com/courses/violin m.football-results.net/league/table parish-church.org/history travel-notes.net/italy/three-days-in-rome blog.open-maps.org/2019/new-tiles
+chess-club.com/games/annotated bird-watching.net/species/heron wiki.history-society.org/page/old-bridge encyclopedia.net/wiki/photosynthesis statistics-office.org/tables/population
+primary-school.com/parents/calendar law-review.net/cases/2011/appeal energy-agency.org/reports/solar-power www.farmers-market.com/stalls code-archive.net/projects/parser/readme
+film-festival.org/2018/jury poetry-foundation.net/poems/winter health-service.org/conditions/asthma consumer-advice.com/guides/mortgages public-radio.net/programmes/morning-news
+""".split()
 
 
 def _example_rows() -> list[tuple[str, int]]:
-    """Both classes get the same schemes, subdomains, endings and paths, so that the names decide."""
-    rows = []
-    for y, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS)):
-        for i, h in enumerate(hosts):
-            for k in (i, 5 * i + 3):
-                rows.append((f"http{'s' * (k % 2)}://{('', 'www.', 'blog.', 'm.')[k // 2 % 4]}{h}.example.{('org', 'net', 'com')[k % 3]}{_PATHS[k % len(_PATHS)]}", y))
-    return rows
+    return [(f"http{'s' * (k % 2)}://{u}", y) for y, urls in ((1, BLOCKED), (0, ALLOWED)) for k, u in enumerate(urls)]
 
 
 def example_labels(spark: SparkSession) -> DataFrame:
